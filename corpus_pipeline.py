@@ -46,7 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their target weights."""
-    copies = mixing.mix(docs).select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
+    copies = mixing.mix(docs).select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    copies = copies.groupBy("doc_id", "__source", "__size").agg(F.min("copies").alias("copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     left, right = docs.select(*COLUMNS, size.alias("__n")).alias("l"), copies.alias("r")
     same = (
