@@ -8,8 +8,8 @@ keeps the lowest dart of each coordinate. Equal coordinates occur with the
 probability of the (weighted) Jaccard similarity.
 
 Signatures are cut into bands; documents that share a band become candidates.
-Each bucket is compared with its first member, then members that stay in other
-components are compared with the bucket's remaining ones inside blocks, by
+A text is compared with the first member of the bucket that holds it most often,
+then members of buckets that stay in other components are compared with the bucket's remaining ones inside blocks, by
 their full signatures. What passes is verified exactly on the whole texts.
 With 40 bands of 5 coordinates a pair of similarity 0.8 shares no bucket with
 probability 1.3e-7.
@@ -249,7 +249,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = reps.select("id", F.explode("bands").alias("band"))
     first = rows.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     bucket = shared.materialize(rows.join(first, "band").select("band", "id", "head"))
-    star = bucket.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    # Each text meets the head that it shares most bands with; the blocks below do the rest.
+    shares = bucket.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
+    star = shares.groupBy(F.col("id").alias("b")).agg(F.min(F.struct(-F.col("n"), F.col("head").alias("head"))).alias("m")).select(F.col("m.head").alias("a"), "b")
     sig_a = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     sig_b = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     likely = shared.materialize(star.join(sig_b, "b").join(sig_a, "a").mapInPandas(_plausible, "a long, b long"))
