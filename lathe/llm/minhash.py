@@ -32,6 +32,8 @@ BANDS, ROWS = 40, 5
 ESTIMATE = 0.65
 #: Rows on the two sides of one block of a bucket.
 OWN_BLOCK, OTHER_BLOCK = 512, 4096
+#: Bits of the filter for texts that some pair names.
+FILTER_BITS = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = -6
 
@@ -292,7 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs whose whole texts reach the similarity; texts that no pair names are not dealt twice."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = shared.materialize(slim.join(named, "id"))
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    # A bitmap of fixed size: FILTER_BITS / 64 rows at most. It only spares texts the shuffle.
+    bitmap = named.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    passed = slim.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    texts = shared.materialize(passed.select("id", "text").join(named, "id"))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"
     )
