@@ -199,16 +199,52 @@ def _plausible(batches):
             yield batch.loc[_agree(a, b) >= ESTIMATE, ["a", "b"]]
 
 
+def _shingle_sets(batches):
+    """Sorted 32-bit shingle hashes of each text."""
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.iloc[lo : lo + 256]
+            s, d, _, _ = shingles(part["text"].tolist())
+            order = np.argsort(d, kind="stable")
+            s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=len(part)))))
+            sets = [np.unique((s[at[i] : at[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in range(len(part))]
+            yield pd.DataFrame({"id": part["id"], "set": sets})
+
+
 def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components between the two sides of a block."""
+    """Similar pairs between the two sides of a block that join different components.
+
+    A pair is looked at in the first band it shares, and not at all once other
+    pairs of the block have joined its components.
+    """
     own, other = block[block["mine"]], block[~block["mine"]]
     out = []
     if len(own) and len(other):
         b = np.frombuffer(b"".join(other["sig"]), np.uint8).reshape(len(other), -1)
+        bands = np.vstack(other["bands"].to_list())
         ids, comps = other["id"].to_numpy(), other["component"].to_numpy()
-        for i, c, s in zip(own["id"], own["component"], own["sig"]):
-            hit = (_agree(np.frombuffer(s, np.uint8)[None, :], b) >= ESTIMATE) & (comps != c)
-            out += [(min(i, j), max(i, j)) for j in ids[hit].tolist()]
+        sets = [np.frombuffer(x, np.uint32) for x in other["set"]]
+        here = own["band"].iloc[0]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i, c, s, mine, x in zip(own["id"], own["component"], own["sig"], own["bands"], own["set"]):
+            same = bands == np.asarray(mine)
+            first = np.asarray(mine)[same.argmax(axis=1)] == here
+            hit = first & (comps != c) & (_agree(np.frombuffer(s, np.uint8)[None, :], b) >= ESTIMATE)
+            x = np.frombuffer(x, np.uint32)
+            for j in np.flatnonzero(hit):
+                p, q = find(int(c)), find(int(comps[j]))
+                if p == q:
+                    continue
+                both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                if both >= SIMILARITY * (len(x) + len(sets[j]) - both):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((min(i, ids[j]), max(i, ids[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
 
@@ -265,19 +301,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bucket.join(groups, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
         .join(groups.select(F.col("id").alias("head"), F.col("component").alias("of_head")), "head", "left")
+        .join(star.select(F.col("b").alias("id"), F.col("a").alias("met")), "id", "left")
         .withColumn("own", F.col("component") != F.coalesce("of_head", "head"))
     )
-    tagged = shared.materialize(tagged.select("band", "id", "component", "own"))
-    shape = tagged.groupBy("band").agg(F.count_if("own").alias("rest"), F.count("*").alias("n")).where("rest > 0 and n > 2")
+    tagged = tagged.withColumn("open", F.col("own") & ~F.coalesce(F.col("met") == F.col("head"), F.lit(False)))
+    tagged = shared.materialize(tagged.select("band", "id", "component", "own", "open"))
+    shape = tagged.groupBy("band").agg(F.count_if("own").alias("rest"), F.count_if("open").alias("open"), F.count("*").alias("n"))
+    shape = shape.where("rest > 0 and (n > 2 or open > 0)")
     shape = shape.select("band", F.ceil(F.col("rest") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / OTHER_BLOCK).cast("int").alias("nj"))
-    dealt = tagged.join(shape, "band").join(reps.select("id", "sig"), "id")
+    met = shared.materialize(tagged.drop("open").join(shape, "band"))
+    sets = shared.materialize(_texts(met.select("id"), slim).mapInPandas(_shingle_sets, "id long, set binary").dropDuplicates(["id"]))
+    dealt = met.join(reps, "id").join(sets, "id")
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["band", "id", "component", "sig"]
+    columns = ["band", "id", "component", "sig", "bands", "set"]
     own = dealt.where("own").select(*columns, F.lit(True).alias("mine"), place("ni", 1).alias("i"), each("nj").alias("j"))
     other = dealt.select(*columns, F.lit(False).alias("mine"), each("ni").alias("i"), place("nj", 2).alias("j"))
     more = own.unionByName(other).groupBy("band", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
-    more = shared.materialize(more.join(likely, ["a", "b"], "left_anti"))
+    more = shared.materialize(more)
     if not more.isEmpty():
         links = links.unionByName(_verified(more, slim))
         groups = components(links)
@@ -291,15 +332,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
-    """The pairs whose whole texts reach the similarity; texts that no pair names are not dealt twice."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts(named: DataFrame, slim: DataFrame) -> DataFrame:
+    """(id, text) of the rows whose id is named; most others are kept out of the shuffle."""
+    named = shared.materialize(named.distinct())
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    # A bitmap of fixed size: FILTER_BITS / 64 rows at most. It only spares texts the shuffle.
+    # A bitmap of fixed size: FILTER_BITS / 64 rows at most.
     bitmap = named.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
     passed = slim.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    texts = shared.materialize(passed.select("id", "text").join(named, "id"))
+    return passed.select("id", "text").join(named, "id")
+
+
+def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs whose whole texts reach the similarity."""
+    texts = shared.materialize(_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), slim))
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"
     )
