@@ -27,9 +27,9 @@ from . import shared
 
 DEPTH = 3
 #: Words from this share of all tokens on are frequent: at most 1 / P_FREQUENT of them.
-P_FREQUENT = 1e-6
+P_FREQUENT = 2.5e-7
 #: On small inputs a word needs this many occurrences besides.
-LEAST_FREQUENT = 64
+LEAST_FREQUENT = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
 
@@ -59,11 +59,19 @@ def _is_frequent(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[spot] == x, spot
 
 
+def _pair(context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """The key of a context with its next token; ``_pair_key`` is the same in SQL."""
+    return context ^ ((nxt << np.uint64(21)) | (nxt >> np.uint64(43)))
+
+
+def _pair_key(context: str, nxt: str) -> Column:
+    return F.col(context).bitwiseXOR(F.shiftleft(nxt, 21).bitwiseOR(F.shiftrightunsigned(nxt, 43)))
+
+
 def contexts(h: np.ndarray, doc: np.ndarray, rare: np.ndarray, depth: int = DEPTH):
     """(depth, places, context, parent, pair with the next token, next token) of each depth."""
     nxt = np.append(h[1:], _END)
     nxt[np.append(doc[1:] != doc[:-1], True)] = _END
-    after = shared.mix64(nxt)
     at = np.flatnonzero(rare)
     context = h[at]
     parent = np.zeros(len(at), dtype=np.uint64)
@@ -75,7 +83,7 @@ def contexts(h: np.ndarray, doc: np.ndarray, rare: np.ndarray, depth: int = DEPT
             context = shared.mix64(parent * _K + h[at - (k - 1)])
         if not len(at):
             return
-        yield k, at, context, parent, shared.mix64(context * _K ^ after[at]), nxt[at]
+        yield k, at, context, parent, _pair(context, nxt[at]), nxt[at]
 
 
 def _grams(frequent):
@@ -92,7 +100,6 @@ def _grams(frequent):
                 u, first, n = np.unique(pair, return_index=True, return_counts=True)
                 yield pd.DataFrame(
                     {
-                        "pair": shared.signed(u),
                         "context": shared.signed(context[first]),
                         "parent": shared.signed(parent[first]),
                         "next": shared.signed(nxt[first]),
@@ -118,13 +125,13 @@ def _retained(level: DataFrame) -> DataFrame:
 
 def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
     """(key, term) of the retained contexts and of their pairs with next tokens, log10."""
-    columns = ["pair", "context", "parent", "next", "depth"]
     summed = grams.repartition("context").groupBy("context", "next").agg(
-        F.sum("n").alias("n"), F.first("pair").alias("pair"), F.first("parent").alias("parent"), F.first("depth").alias("depth")
+        F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("depth").alias("depth")
     )
     by = Window.partitionBy("context")
-    seen = summed.select(*columns, "n", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("t"))
-    seen = shared.materialize(seen.where("total > 1"))
+    seen = summed.select("*", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("t"), F.max("n").over(by).alias("most"))
+    # A context whose next tokens all differ predicts none of its occurrences from the others.
+    seen = shared.materialize(seen.where("most > 1").drop("most"))
     root = words.select(F.col("h").alias("next"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
     terms, above = None, None
     for k in range(1, DEPTH + 1):
@@ -137,7 +144,7 @@ def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
         back_off = F.log10(F.col("t") / (F.col("total") + F.col("t")))
         kept = above.where("keep")
         new = kept.groupBy(F.col("context").alias("key")).agg(F.first(back_off).alias("term")).unionByName(
-            kept.select(F.col("pair").alias("key"), (F.log10("here") - F.log10("p") - back_off).alias("term"))
+            kept.select(_pair_key("context", "next").alias("key"), (F.log10("here") - F.log10("p") - back_off).alias("term"))
         )
         terms = new if terms is None else terms.unionByName(new)
     return terms
@@ -232,7 +239,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     frequent = spark.sparkContext.broadcast(tuple(common[name].to_numpy() for name in ("h", "known", "base")))
 
     grams = slim.where(~F.col("held_out")).select("text").mapInPandas(
-        _grams(frequent), "pair long, context long, parent long, next long, depth byte, n long"
+        _grams(frequent), "context long, parent long, next long, depth byte, n long"
     )
     terms = grow(grams, words, n, v).select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
     rare = valued.where(F.col("total") < least).select(
