@@ -34,20 +34,25 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
 
 
-def _count_words(batches):
-    """Distinct words of each batch with their counts in all and in training texts."""
+def _slices(batches, rows: int):
+    """The batches in slices of bounded size, so that the arrays of a worker stay small."""
     for batch in batches:
-        train = batch["train"].to_numpy()
-        h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
+        for lo in range(0, len(batch), rows):
+            yield batch.iloc[lo : lo + rows]
+
+
+def _count_words(batches):
+    """Distinct words of each slice with their counts in all and in training texts."""
+    for part in _slices(batches, 4096):
+        train = part["train"].to_numpy()
+        h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
         h = np.append(h, np.full(len(train), _END))
         doc = np.append(doc, np.arange(len(train)))
-        u, inverse = np.unique(h, return_inverse=True)
+        order = np.argsort(h)
+        h, used = h[order], train[doc[order]].astype(np.int64)
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         yield pd.DataFrame(
-            {
-                "h": shared.signed(u),
-                "c": np.bincount(inverse, weights=train[doc], minlength=len(u)).astype(np.int64),
-                "total": np.bincount(inverse, minlength=len(u)),
-            }
+            {"h": shared.signed(h[new]), "c": np.add.reduceat(used, new), "total": np.diff(np.append(new, len(h)))}
         )
 
 
@@ -91,7 +96,7 @@ def _grams(frequent):
 
     def run(batches):
         (keys, *_) = frequent.value
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
             if not len(h):
                 continue
