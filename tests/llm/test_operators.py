@@ -176,7 +176,7 @@ def test_lm_probabilities_of_a_state_sum_to_one(spark):
 
 def test_top_k(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(400, None), (500, [1.0, None, 0, 0, 0, 0]), (600, [float("nan")] * 6), (None, [0.0] * 6), (700, [])]
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(400, None), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (600, [float("nan")] * 6), (None, [0.0] * 6), (700, [])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit(9)), F.col("vec_id") % 50 == 0, 5).collect()
     v = {i: [math.floor(1024 * x) for x in e] for i, e in rows[:300]}
     want = set()
