@@ -71,6 +71,16 @@ def features(texts: list[str | None], weights: np.ndarray):
         yield lo, hi, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _right_vectors(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors by subspace iteration, in memory of a few copies of ``x``."""
+    rank = min(rank, *x.shape)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v[:rank].T).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Latent:
     """Fit on labelled rows where ``training`` (over the label table's id) holds."""
     df, n = ngrams.document_frequency(docs, text_col, DIMS, ORDERS, False)
@@ -97,11 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         return empty
     x = np.array([np.frombuffer(b, np.float16) for b in rows["x"]], dtype=np.float32)
     y = rows["label"].to_numpy(dtype=np.float64)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64) if len(x) > x.shape[1] else (x @ x.T).astype(np.float64))
-    rank = min(RANK, len(values))
-    top = vectors[:, ::-1][:, :rank]
-    basis = top if len(x) > x.shape[1] else x.T @ (top / np.sqrt(np.maximum(values[::-1][:rank], 1e-9)))
-    basis = basis.astype(np.float32)
+    basis = _right_vectors(x, RANK)
     latent = x @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     share = sizes.get(1, 0) / sum(sizes.values())
