@@ -34,16 +34,18 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
 
 
-def _slices(batches, rows: int):
-    """The batches in slices of bounded size, so that the arrays of a worker stay small."""
+def _slices(batches, size: int):
+    """The batches in slices of about ``size`` characters or one longer text, so that the arrays of a worker stay small."""
     for batch in batches:
-        for lo in range(0, len(batch), rows):
-            yield batch.iloc[lo : lo + rows]
+        piece = np.cumsum(batch["text"].str.len().to_numpy(dtype=np.int64)) // size
+        edges = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(batch) else []
+        for lo, hi in zip(edges, [*edges[1:], len(batch)]):
+            yield batch.iloc[lo:hi]
 
 
 def _count_words(batches):
     """Distinct words of each slice with their counts in all and in training texts."""
-    for part in _slices(batches, 4096):
+    for part in _slices(batches, 2 << 20):
         train = part["train"].to_numpy()
         h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
         h = np.append(h, np.full(len(train), _END))
@@ -96,7 +98,7 @@ def _grams(frequent):
 
     def run(batches):
         (keys, *_) = frequent.value
-        for batch in _slices(batches, 2048):
+        for batch in _slices(batches, 4 << 20):
             h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
             if not len(h):
                 continue
@@ -166,35 +168,33 @@ def _spread(frequent, end):
 
         row = TaskContext.get().partitionId() << 40
         keys, known, base = frequent.value
-        for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.iloc[lo : lo + 2048]
-                n = len(part)
-                rows = row + np.arange(n)
-                h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
-                hit, spot = _is_frequent(keys, h)
-                add = lambda v: np.bincount(doc[hit], weights=v[spot[hit]], minlength=n)  # noqa: B023,E731
-                yield pd.DataFrame(
-                    {
-                        "row": rows,
-                        "key": shared.signed(shared.mix64(rows.astype(np.uint64))),
-                        "times": np.zeros(n, np.int64),
-                        "is_doc": np.ones(n, bool),
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "held_out": part["held_out"].to_numpy(),
-                        "n_tokens": np.bincount(doc, minlength=n) + 1,
-                        "known": (add(known) + end[0]).astype(np.int64) if len(keys) else np.full(n, end[0]),
-                        "base": add(base) + end[1] if len(keys) else np.full(n, end[1]),
-                    }
-                )
-                if len(h):
-                    got_k, got_d = [], []
-                    for k, at, context, _, pair, _ in contexts(h, doc, ~hit):
-                        got_k += [context, pair]
-                        got_d += [doc[at], doc[at]]
-                    if got_k:
-                        yield _key_rows(rows, np.concatenate(got_k), np.concatenate(got_d))
-                row += n
+        for part in _slices(batches, 2 << 20):
+            n = len(part)
+            rows = row + np.arange(n)
+            h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
+            hit, spot = _is_frequent(keys, h)
+            add = lambda v: np.bincount(doc[hit], weights=v[spot[hit]], minlength=n)  # noqa: B023,E731
+            yield pd.DataFrame(
+                {
+                    "row": rows,
+                    "key": shared.signed(shared.mix64(rows.astype(np.uint64))),
+                    "times": np.zeros(n, np.int64),
+                    "is_doc": np.ones(n, bool),
+                    "doc_id": part["doc_id"].to_numpy(),
+                    "held_out": part["held_out"].to_numpy(),
+                    "n_tokens": np.bincount(doc, minlength=n) + 1,
+                    "known": (add(known) + end[0]).astype(np.int64) if len(keys) else np.full(n, end[0]),
+                    "base": add(base) + end[1] if len(keys) else np.full(n, end[1]),
+                }
+            )
+            if len(h):
+                got_k, got_d = [], []
+                for k, at, context, _, pair, _ in contexts(h, doc, ~hit):
+                    got_k += [context, pair]
+                    got_d += [doc[at], doc[at]]
+                if got_k:
+                    yield _key_rows(rows, np.concatenate(got_k), np.concatenate(got_d))
+            row += n
 
     return run
 
