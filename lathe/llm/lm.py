@@ -2,8 +2,7 @@
 
 The root predicts the next token, a word or the end of the text, from smoothed
 counts of all training tokens. Deeper states are contexts of one to DEPTH words
-before it; a word so frequent that it says little about its successor ends a
-context. A context is retained if its next-token distribution diverges from
+before it, of any words. A context is retained if its next-token distribution diverges from
 that of its longest retained suffix: leaving out one occurrence at a time, it
 must predict its own occurrences better. Retained distributions are smoothed
 towards that of the suffix, and each token is scored in the longest retained
@@ -11,9 +10,11 @@ state.
 
 Because every smoothed probability is that of the suffix times a factor, the
 log probability of a text is a sum of terms that belong to single keys: words,
-contexts, and contexts with their next token. Texts fetch the terms of frequent
-words from a broadcast table (a fixed share of all tokens bounds its size) and
-all other terms by one join on the key.
+contexts, and contexts with their next token. Texts fetch the base terms of
+frequent words from a broadcast table (a fixed share of all tokens bounds its
+size) and all other terms by one join on the key. A bitmap of bounded size keeps
+most keys without a term out of that join; a key that it lets pass wrongly finds
+no term.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 from . import shared
 
 DEPTH = 3
-#: Words from this share of all tokens on are frequent: at most 1 / P_FREQUENT of them.
+#: Words from this share of all tokens on have their base terms broadcast: at most 1 / P_FREQUENT of them.
 P_FREQUENT = 2.5e-7
 #: On small inputs a word needs this many occurrences besides.
 LEAST_FREQUENT = 16
+#: Bits of the bitmap of keys with terms, and of one part of it.
+MOST_BITS, PART_BITS = 1 << 28, 1 << 14
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
 
@@ -75,17 +78,17 @@ def _pair_key(context: str, nxt: str) -> Column:
     return F.col(context).bitwiseXOR(F.shiftleft(nxt, 21).bitwiseOR(F.shiftrightunsigned(nxt, 43)))
 
 
-def contexts(h: np.ndarray, doc: np.ndarray, rare: np.ndarray, depth: int = DEPTH):
+def contexts(h: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
     """(depth, places, context, parent, pair with the next token, next token) of each depth."""
     nxt = np.append(h[1:], _END)
     nxt[np.append(doc[1:] != doc[:-1], True)] = _END
-    at = np.flatnonzero(rare)
-    context = h[at]
+    at = np.arange(len(h))
+    context = h
     parent = np.zeros(len(at), dtype=np.uint64)
     for k in range(1, depth + 1):
         if k > 1:
             back = at - (k - 1)
-            ok = (back >= 0) & rare[np.maximum(back, 0)] & (doc[np.maximum(back, 0)] == doc[at])
+            ok = (back >= 0) & (doc[np.maximum(back, 0)] == doc[at])
             at, parent = at[ok], context[ok]
             context = shared.mix64(parent * _K + h[at - (k - 1)])
         if not len(at):
@@ -93,29 +96,23 @@ def contexts(h: np.ndarray, doc: np.ndarray, rare: np.ndarray, depth: int = DEPT
         yield k, at, context, parent, _pair(context, nxt[at]), nxt[at]
 
 
-def _grams(frequent):
-    """Counts of (context, next token) in training texts, summed within a batch."""
-
-    def run(batches):
-        (keys, *_) = frequent.value
-        for batch in _slices(batches, 4 << 20):
-            h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
-            if not len(h):
-                continue
-            hit, _ = _is_frequent(keys, h)
-            for k, _, context, parent, pair, nxt in contexts(h, doc, ~hit):
-                u, first, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pd.DataFrame(
-                    {
-                        "context": shared.signed(context[first]),
-                        "parent": shared.signed(parent[first]),
-                        "next": shared.signed(nxt[first]),
-                        "depth": np.full(len(u), k, dtype=np.int8),
-                        "n": n,
-                    }
-                )
-
-    return run
+def _grams(batches):
+    """Counts of (context, next token) in training texts, summed within a slice."""
+    for batch in _slices(batches, 4 << 20):
+        h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
+        if not len(h):
+            continue
+        for k, _, context, parent, pair, nxt in contexts(h, doc):
+            u, first, n = np.unique(pair, return_index=True, return_counts=True)
+            yield pd.DataFrame(
+                {
+                    "context": shared.signed(context[first]),
+                    "parent": shared.signed(parent[first]),
+                    "next": shared.signed(nxt[first]),
+                    "depth": np.full(len(u), k, dtype=np.int8),
+                    "n": n,
+                }
+            )
 
 
 def _retained(level: DataFrame) -> DataFrame:
@@ -132,7 +129,8 @@ def _retained(level: DataFrame) -> DataFrame:
 
 def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
     """(key, term) of the retained contexts and of their pairs with next tokens, log10."""
-    summed = grams.repartition("context").groupBy("context", "next").agg(
+    # Dealt by both first: a hot context comes to one task with its distinct next tokens only.
+    summed = grams.groupBy("context", "next").agg(
         F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("depth").alias("depth")
     )
     by = Window.partitionBy("context")
@@ -157,10 +155,42 @@ def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
     return terms
 
 
+def _bitmap(terms: DataFrame) -> tuple[int, np.ndarray]:
+    """(number of bits, bitmap) of the keys; a key's bit is its scrambled value modulo the bits."""
+    bits = PART_BITS
+    count = terms.count()
+    while bits < min(8 * count, MOST_BITS):
+        bits *= 2
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        at = shared.mix64(group["key"].to_numpy().view(np.uint64)) % np.uint64(bits)
+        here = np.zeros(PART_BITS, dtype=bool)
+        here[(at % np.uint64(PART_BITS)).astype(np.int64)] = True
+        return pd.DataFrame({"part": [int(at[0]) // PART_BITS], "bits": [np.packbits(here).tobytes()]})
+
+    def place(batches):
+        for batch in batches:
+            at = shared.mix64(batch["key"].to_numpy().view(np.uint64)) % np.uint64(bits)
+            yield pd.DataFrame({"key": batch["key"], "part": (at // np.uint64(PART_BITS)).astype(np.int64)})
+
+    placed = terms.select("key").mapInPandas(place, "key long, part long")
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in placed.groupBy("part").applyInPandas(part, "part long, bits binary").collect():
+        at = r["part"] * PART_BITS // 8
+        out[at : at + PART_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits, out
+
+
+def _maybe(bitmap: tuple[int, np.ndarray], key: np.ndarray) -> np.ndarray:
+    bits, held = bitmap
+    at = (shared.mix64(key) % np.uint64(bits)).astype(np.int64)
+    return (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 _ROW = "row long, key long, times long, is_doc boolean, doc_id {id}, held_out boolean, n_tokens long, known long, base double"
 
 
-def _spread(frequent, end):
+def _spread(frequent, bitmap, end):
     """A row per text with the sums of its frequent words, and a row per text and further key."""
 
     def run(batches):
@@ -168,7 +198,7 @@ def _spread(frequent, end):
 
         row = TaskContext.get().partitionId() << 40
         keys, known, base = frequent.value
-        for part in _slices(batches, 2 << 20):
+        for part in _slices(batches, 1 << 19):
             n = len(part)
             rows = row + np.arange(n)
             h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
@@ -189,11 +219,17 @@ def _spread(frequent, end):
             )
             if len(h):
                 got_k, got_d = [], []
-                for k, at, context, _, pair, _ in contexts(h, doc, ~hit):
-                    got_k += [context, pair]
-                    got_d += [doc[at], doc[at]]
-                if got_k:
-                    yield _key_rows(rows, np.concatenate(got_k), np.concatenate(got_d))
+                for k, at, context, _, pair, _ in contexts(h, doc):
+                    retained = _maybe(bitmap.value, context)
+                    # A word's base term has the key of its one-word context.
+                    send = retained | ~hit if k == 1 else retained
+                    seen = np.flatnonzero(retained)
+                    seen = seen[_maybe(bitmap.value, pair[seen])]
+                    got_k += [context[send], pair[seen]]
+                    got_d += [doc[at[send]], doc[at[seen]]]
+                key = np.concatenate(got_k)
+                if len(key):
+                    yield _key_rows(rows, key, np.concatenate(got_d))
             row += n
 
     return run
@@ -244,9 +280,11 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     frequent = spark.sparkContext.broadcast(tuple(common[name].to_numpy() for name in ("h", "known", "base")))
 
     grams = slim.where(~F.col("held_out")).select("text").mapInPandas(
-        _grams(frequent), "context long, parent long, next long, depth byte, n long"
+        _grams, "context long, parent long, next long, depth byte, n long"
     )
-    terms = grow(grams, words, n, v).select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
+    grown = shared.materialize(grow(grams, words, n, v))
+    bitmap = spark.sparkContext.broadcast(_bitmap(grown))
+    terms = grown.select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
     rare = valued.where(F.col("total") < least).select(
         F.col("h").alias("key"), (F.col("c") > 0).cast("int").alias("known_word"), F.col("base").alias("b"), F.lit(0.0).alias("term")
     )
@@ -254,7 +292,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     table = shared.materialize(
         rare.unionByName(terms).groupBy("key").agg(F.sum("known_word").alias("known_word"), F.sum("b").alias("b"), F.sum("term").alias("term"))
     )
-    spread = slim.mapInPandas(_spread(frequent, tuple(end)), _ROW.format(id=slim.schema["doc_id"].dataType.simpleString()))
+    spread = slim.mapInPandas(_spread(frequent, bitmap, tuple(end)), _ROW.format(id=slim.schema["doc_id"].dataType.simpleString()))
     joined = spread.join(table, "key", "left").where("is_doc or b is not null")
     times = F.col("times")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

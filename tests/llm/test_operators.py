@@ -174,6 +174,46 @@ def test_lm_probabilities_of_a_state_sum_to_one(spark):
     assert base[0]["score"] > base[0]["base_score"]
 
 
+def brute_suffix_tree(train, texts):
+    """log10 of each text in the suffix tree of contexts of up to DEPTH words, of any frequency."""
+    c = collections.Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    follow = collections.defaultdict(collections.Counter)
+    for t in train:
+        for i in range(1, len(t)):
+            for k in range(1, min(lm.DEPTH, i) + 1):
+                follow[tuple(t[i - k : i])][t[i]] += 1
+    kept = set()
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        below = p(context[1:], w)
+        if context not in kept:
+            return below
+        f = follow[context]
+        return (f[w] + len(f) * below) / (sum(f.values()) + len(f))
+
+    for context, f in sorted(follow.items(), key=lambda x: len(x[0])):
+        t, total = len(f), sum(f.values())
+        if max(f.values()) > 1:
+            below = {w: p(context[1:], w) for w in f}
+            if sum(k * math.log((k - 1 + t * below[w]) / (total - 1 + t) / below[w]) for w, k in f.items()) > 1e-9:
+                kept.add(context)
+    score = [sum(math.log10(p(tuple(t[max(0, i - lm.DEPTH) : i]), t[i])) for i in range(len(t))) for t in texts]
+    return score, kept
+
+
+def test_lm_equals_a_suffix_tree_over_all_words(spark):
+    texts = [" ".join(random.Random(i % 37).choice(["of", "to"]) + " the " + w for w in words(i % 37, 12)) for i in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    tokens = [[*t.split(), None] for t in texts]
+    want, kept = brute_suffix_tree([t for i, t in enumerate(tokens) if i % 4], tokens)
+    assert any("the" in x for x in kept)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 0).collect()}
+    assert [got[i] for i in range(80)] == pytest.approx(want, abs=1e-6)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(400, None), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (600, [float("nan")] * 6), (None, [0.0] * 6), (700, [])]
