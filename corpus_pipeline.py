@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.llm import langid, minhash, mixing, quality, sentencepiece
@@ -45,9 +45,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources come near their target weights."""
+    """Repeats or drops documents so that sources come near their target weights.
+
+    Rows of one id, source and size share their copies out: ``extra`` of them, in order of text, take one more than the least.
+    """
     copies = mixing.mix(docs).select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    copies = copies.groupBy("doc_id", "__source", "__size").agg(F.min("copies").alias("copies"))
+    least = F.min("copies")
+    copies = materialize(
+        copies.groupBy("doc_id", "__source", "__size").agg(least.alias("least"), (F.sum("copies") - F.count("*") * least).alias("extra"))
+    )
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     left, right = docs.select(*COLUMNS, size.alias("__n")).alias("l"), copies.alias("r")
     same = (
@@ -55,8 +61,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         & F.col("l.source").cast("string").eqNullSafe(F.col("r.__source"))
         & (F.col("l.__n") == F.col("r.__size"))
     )
-    joined = left.join(right, same).select(*[F.col(f"l.{c}") for c in COLUMNS], F.col("r.copies"))
-    return joined.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    joined = left.join(right, same).select(*[F.col(f"l.{c}") for c in COLUMNS], "__n", "r.least", "r.extra")
+    out = joined.where("extra = 0").withColumn("copies", F.col("least"))
+    if not copies.where("extra > 0").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "__n").orderBy("text", "lang", "n_chars"))
+        shared_out = joined.where("extra > 0").withColumn("copies", F.col("least") + (nth <= F.col("extra")).cast("long"))
+        out = out.unionByName(shared_out)
+    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
