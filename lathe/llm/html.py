@@ -6,7 +6,8 @@ of both are aligned by longest common subsequence, and lines that both share
 are template and are deleted. Differencing alone can't give the main text
 where menus and notices differ from page to page, and would delete an article
 that two pages share; so elements that are no article by their tag, role, class
-or id go first, and lines inside an article or main element are never deleted.
+or id (by the last word of a name, and not if they hold an article) go first, and
+lines inside an article or main element are never deleted.
 """
 
 from __future__ import annotations
@@ -51,39 +52,54 @@ NAMES = {
 LAYOUT = {"has", "no", "not", "with", "without", "is", "hide", "show"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no article in any case, and whether a class or id says so."""
     if tag in SKIP:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, False
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in MAIN:
-            for token in value.split():
-                words = _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", token).lower())
-                if words and words[0] not in LAYOUT and not NAMES.isdisjoint(words):
-                    return True
-    return False
+            named = named or any(map(_marks, value.split()))
+    return False, named
+
+
+def _marks(token: str) -> bool:
+    """Whether the last word of a class or id, its head, marks what is no article."""
+    words = [w for w in _NAME.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", token).lower()) if not w.isdigit()]
+    return bool(words) and LAYOUT.isdisjoint(words) and words[-1] in NAMES
 
 
 def lines(page: str | None) -> list[tuple[str, bool]]:
-    """Text blocks of a page outside boilerplate elements, and whether each stands in an article or main element."""
+    """Text blocks of a page outside boilerplate elements, and whether each stands in an article or main element.
+
+    An element that a class or id marks is read after all if it holds an article or main element.
+    """
     if not page:
         return []
+    out, holders = _read(page, frozenset())
+    return _read(page, holders)[0] if holders else out
+
+
+def _read(page: str, holders: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+    """The blocks, and the places of the marked elements that hold an article; those of ``holders`` are read."""
     out: list[tuple[str, bool]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    found: set[int] = set()
     skipping = mains = 0
 
     def flush() -> None:
@@ -95,7 +111,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
 
     def pop() -> None:
         nonlocal skipping, mains
-        _, skip, main = stack.pop()
+        _, skip, main, _ = stack.pop()
         skipping -= skip
         mains -= main
 
@@ -121,7 +137,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if block and not skipping:
             flush()
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
+            if any(t[0] == tag for t in stack):
                 if block and not skipping:
                     flush()
                 while stack[-1][0] != tag:
@@ -145,12 +161,15 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                 pop()
         if tag in BLOCKS and stack and stack[-1][0] == "p":
             pop()
-        skip, main = _boilerplate(tag, m[3]), tag in MAIN
-        stack.append((tag, skip, main))
+        (never, named), main = _boilerplate(tag, m[3]), tag in MAIN
+        if main and not never:
+            found.update(place for *_, place in stack if place >= 0)
+        skip = never or named and m.start() not in holders
+        stack.append((tag, skip, main, m.start() if named else -1))
         skipping += skip
         mains += main
     flush()
-    return out
+    return out, frozenset(found)
 
 
 def common(a: list[str], b: list[str]) -> set[int]:

@@ -94,6 +94,14 @@ def test_html_rules(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_compares_whole_attribute_names_and_heads_of_classes():
+    inner = "<p title='The hidden garden'>A</p><p data-state=\"hidden\" data-hidden='false'>B</p><a href=\"/a/hidden-gems\">C</a><p><a href='/p?id=search' data-id=\"comments\">D</a></p>"
+    for before, after in (("<article>", "</article>"), ("<div>", "</div>"), ("<div class='post social-enabled'>", "</div>"), ("<div class=content-with-sidebar>", "</div>"), ("<div class='x sidebar'><main>", "</main></div>")):
+        assert " ".join(t for t, _ in html.lines(f"<body>{before}{inner}{after}</body>")) == "A B C D", before
+    for mark in ("class='left-sidebar'", "id=comments-3", "hidden", "HIDDEN=''", "role=search", "aria-hidden=true", "style='display: none'"):
+        assert html.lines(f"<body><div title='a=b' {mark}>N</div><p>A</p></body>") == [("A", False)], mark
+
+
 def jaccard_groups(rows):
     def sh(t):
         w = (t or "").split()
