@@ -200,14 +200,14 @@ def _plausible(batches):
 
 
 def _shingle_sets(batches):
-    """Sorted 32-bit shingle hashes of each text."""
+    """Sorted shingle hashes of each text, all 64 bits: the sets that the exact check compares."""
     for batch in batches:
         for lo in range(0, len(batch), 256):
             part = batch.iloc[lo : lo + 256]
             s, d, _, _ = shingles(part["text"].tolist())
             order = np.argsort(d, kind="stable")
             s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=len(part)))))
-            sets = [np.unique((s[at[i] : at[i + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for i in range(len(part))]
+            sets = [np.unique(s[at[i] : at[i + 1]]).tobytes() for i in range(len(part))]
             yield pd.DataFrame({"id": part["id"], "set": sets})
 
 
@@ -223,7 +223,7 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
         b = np.frombuffer(b"".join(other["sig"]), np.uint8).reshape(len(other), -1)
         bands = np.vstack(other["bands"].to_list())
         ids, comps = other["id"].to_numpy(), other["component"].to_numpy()
-        sets = [np.frombuffer(x, np.uint32) for x in other["set"]]
+        sets = [np.frombuffer(x, np.uint64) for x in other["set"]]
         here = own["band"].iloc[0]
         parent: dict[int, int] = {}
 
@@ -236,7 +236,7 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
             same = bands == np.asarray(mine)
             first = np.asarray(mine)[same.argmax(axis=1)] == here
             hit = first & (comps != c) & (_agree(np.frombuffer(s, np.uint8)[None, :], b) >= ESTIMATE)
-            x = np.frombuffer(x, np.uint32)
+            x = np.frombuffer(x, np.uint64)
             for j in np.flatnonzero(hit):
                 p, q = find(int(c)), find(int(comps[j]))
                 if p == q:
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = shape.where("rest > 0 and (n > 2 or open > 0)")
     shape = shape.select("band", F.ceil(F.col("rest") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / OTHER_BLOCK).cast("int").alias("nj"))
     met = shared.materialize(tagged.drop("open").join(shape, "band"))
-    sets = shared.materialize(_texts(met.select("id"), slim).mapInPandas(_shingle_sets, "id long, set binary").dropDuplicates(["id"]))
+    sets = shared.materialize(_texts(met.select("id"), slim).mapInPandas(_shingle_sets, "id long, set binary").distinct())
     dealt = met.join(reps, "id").join(sets, "id")
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

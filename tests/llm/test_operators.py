@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,13 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_block_sets_keep_whole_hashes(monkeypatch):
+    hashes = np.arange(10, dtype=np.uint64)
+    monkeypatch.setattr(minhash, "shingles", lambda texts: (hashes, np.zeros(10, np.int64), None, None))
+    (got,) = minhash._shingle_sets([pd.DataFrame({"id": [1], "text": ["x"]})])
+    assert np.frombuffer(got["set"][0], np.uint64).tolist() == hashes.tolist()
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     ids = shared.mix64(np.arange(300, dtype=np.uint64))
