@@ -83,7 +83,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", to_pieces),
 ]
 
-#: No stage is expressible in SQL; tests hold the stages against brute force.
+#: No stage is expressible in SQL; a test holds the mixing stage against its operator, the other stages have none of their own.
 ORACLE_SQL = None
 
 
