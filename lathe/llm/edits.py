@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,6 +207,7 @@ def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
 
+    @shared.tidy
     def run(batches):
         counter = _counter(sent.value)
         for batch in batches:

@@ -235,6 +235,7 @@ def difference(own: list[tuple[str, bool]], partner: list[tuple[str, bool]]) ->
     return " ".join(t for t, _ in own)
 
 
+@shared.tidy
 def _walk(batches):
     """Differences each page of the ordered stream with its nearer neighbour."""
     done: list[tuple] = []

@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ngrams
-from .shared import remainder
+from . import ngrams, shared
 
 DIMS = 4096
 ORDERS = (1, 2, 3)
@@ -65,6 +64,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     rates = F.create_map(*[F.lit(v) for lang, c in per_lang for v in (lang, ngrams.sample_rate(c, SAMPLE))])
     some = known.where(ngrams.sampled(id_col, rates[F.col(lang_col).cast("string")], 5) & F.col(text_col).rlike(r"\p{L}"))
 
+    @shared.tidy
     def features(batches):
         for batch in batches:
             for lo, hi, c in ngrams.counts(batch[text_col].tolist(), DIMS, ORDERS, True):
@@ -97,6 +97,7 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", columns:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letters = "__has_letter"
 
+    @shared.tidy
     def run(batches):
         m = sent.value
         for batch in batches:
@@ -125,7 +126,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     from, every text is ``und``; an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    held = F.coalesce(shared.remainder("doc_id", 4) == 2, F.lit(False))
     model = fit(slim, ~held)
     return predict(slim.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 

@@ -37,18 +37,10 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
 
 
-def _slices(batches, size: int):
-    """The batches in slices of about ``size`` characters or one longer text, so that the arrays of a worker stay small."""
-    for batch in batches:
-        piece = np.cumsum(batch["text"].str.len().to_numpy(dtype=np.int64)) // size
-        edges = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(batch) else []
-        for lo, hi in zip(edges, [*edges[1:], len(batch)]):
-            yield batch.iloc[lo:hi]
-
-
+@shared.tidy
 def _count_words(batches):
     """Distinct words of each slice with their counts in all and in training texts."""
-    for part in _slices(batches, 2 << 20):
+    for part in shared.slices(batches, 2 << 20, "text"):
         train = part["train"].to_numpy()
         h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
         h = np.append(h, np.full(len(train), _END))
@@ -96,9 +88,10 @@ def contexts(h: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
         yield k, at, context, parent, _pair(context, nxt[at]), nxt[at]
 
 
+@shared.tidy
 def _grams(batches):
     """Counts of (context, next token) in training texts, summed within a slice."""
-    for batch in _slices(batches, 4 << 20):
+    for batch in shared.slices(batches, 4 << 20, "text"):
         h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
         if not len(h):
             continue
@@ -193,12 +186,13 @@ _ROW = "row long, key long, times long, is_doc boolean, doc_id {id}, held_out bo
 def _spread(frequent, bitmap, end):
     """A row per text with the sums of its frequent words, and a row per text and further key."""
 
+    @shared.tidy
     def run(batches):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         keys, known, base = frequent.value
-        for part in _slices(batches, 1 << 19):
+        for part in shared.slices(batches, 1 << 19, "text"):
             n = len(part)
             rows = row + np.arange(n)
             h, doc = shared.word_hashes(part["text"].tolist(), lower=True)

@@ -32,6 +32,8 @@ BANDS, ROWS = 40, 5
 ESTIMATE = 0.65
 #: Rows on the two sides of one block of a bucket.
 OWN_BLOCK, OTHER_BLOCK = 512, 4096
+#: Characters of the texts that a worker describes at once, or one longer text.
+SLICE = 1 << 20
 #: Bits of the filter for texts that some pair names.
 FILTER_BITS = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -160,29 +162,28 @@ def _sequence_key(h: np.ndarray, doc: np.ndarray, n_docs: int, salt: int) -> np.
 _PASS = "id long, k1 long, k2 long, n_words long, bands array<long>, sig binary"
 
 
+@shared.tidy
 def _describe(batches):
     k = BANDS * ROWS
-    for batch in batches:
-        for lo in range(0, len(batch), 512):
-            part = batch.iloc[lo : lo + 512]
-            texts = part["text"].tolist()
-            s, sd, h, hd = shingles(texts)
-            sig, some = dart_signatures(s, sd, len(texts), k)
-            band = np.zeros((len(texts), BANDS), dtype=np.uint64)
-            for r in range(ROWS):
-                band = shared.mix64(band * _M + sig[:, r::ROWS][:, :BANDS])
-            band = shared.signed(band ^ shared.mix64(np.arange(BANDS, dtype=np.uint64)))
-            low = (sig & np.uint64(255)).astype(np.uint8)
-            yield pd.DataFrame(
-                {
-                    "id": part["id"],
-                    "k1": shared.signed(_sequence_key(h, hd, len(texts), 1)),
-                    "k2": shared.signed(_sequence_key(h, hd, len(texts), 1 << 33)),
-                    "n_words": np.bincount(hd, minlength=len(texts)),
-                    "bands": [b if ok else None for b, ok in zip(band, some)],
-                    "sig": [x.tobytes() if ok else None for x, ok in zip(low, some)],
-                }
-            )
+    for part in shared.slices(batches, SLICE, "text"):
+        texts = part["text"].tolist()
+        s, sd, h, hd = shingles(texts)
+        sig, some = dart_signatures(s, sd, len(texts), k)
+        band = np.zeros((len(texts), BANDS), dtype=np.uint64)
+        for r in range(ROWS):
+            band = shared.mix64(band * _M + sig[:, r::ROWS][:, :BANDS])
+        band = shared.signed(band ^ shared.mix64(np.arange(BANDS, dtype=np.uint64)))
+        low = (sig & np.uint64(255)).astype(np.uint8)
+        yield pd.DataFrame(
+            {
+                "id": part["id"],
+                "k1": shared.signed(_sequence_key(h, hd, len(texts), 1)),
+                "k2": shared.signed(_sequence_key(h, hd, len(texts), 1 << 33)),
+                "n_words": np.bincount(hd, minlength=len(texts)),
+                "bands": [b if ok else None for b, ok in zip(band, some)],
+                "sig": [x.tobytes() if ok else None for x, ok in zip(low, some)],
+            }
+        )
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,6 +192,7 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
+@shared.tidy
 def _plausible(batches):
     for batch in batches:
         if len(batch):
@@ -199,16 +201,15 @@ def _plausible(batches):
             yield batch.loc[_agree(a, b) >= ESTIMATE, ["a", "b"]]
 
 
+@shared.tidy
 def _shingle_sets(batches):
     """Sorted shingle hashes of each text, all 64 bits: the sets that the exact check compares."""
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.iloc[lo : lo + 256]
-            s, d, _, _ = shingles(part["text"].tolist())
-            order = np.argsort(d, kind="stable")
-            s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=len(part)))))
-            sets = [np.unique(s[at[i] : at[i + 1]]).tobytes() for i in range(len(part))]
-            yield pd.DataFrame({"id": part["id"], "set": sets})
+    for part in shared.slices(batches, SLICE, "text"):
+        s, d, _, _ = shingles(part["text"].tolist())
+        order = np.argsort(d, kind="stable")
+        s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=len(part)))))
+        sets = [np.unique(s[at[i] : at[i + 1]]).tobytes() for i in range(len(part))]
+        yield pd.DataFrame({"id": part["id"], "set": sets})
 
 
 def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
@@ -248,22 +249,21 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
 
+@shared.tidy
 def _exact(batches):
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.iloc[lo : lo + 256]
-            n = len(part)
-            s, d, _, _ = shingles(part["ta"].tolist() + part["tb"].tolist())
-            order = np.argsort(d, kind="stable")
-            s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=2 * n))))
-            keep = np.zeros(n, dtype=bool)
-            for i in range(n):
-                x = np.unique(s[at[i] : at[i + 1]])
-                y = np.unique(s[at[n + i] : at[n + i + 1]])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                keep[i] = both >= SIMILARITY * union and union > 0
-            yield part.loc[keep, ["a", "b"]]
+    for part in shared.slices(batches, SLICE, "ta", "tb"):
+        n = len(part)
+        s, d, _, _ = shingles(part["ta"].tolist() + part["tb"].tolist())
+        order = np.argsort(d, kind="stable")
+        s, at = s[order], np.concatenate(([0], np.cumsum(np.bincount(d, minlength=2 * n))))
+        keep = np.zeros(n, dtype=bool)
+        for i in range(n):
+            x = np.unique(s[at[i] : at[i + 1]])
+            y = np.unique(s[at[n + i] : at[n + i + 1]])
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - both
+            keep[i] = both >= SIMILARITY * union and union > 0
+        yield part.loc[keep, ["a", "b"]]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

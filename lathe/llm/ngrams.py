@@ -47,6 +47,7 @@ def counts(texts: list[str | None], dims: int, orders: tuple[int, ...], lower: b
 def document_frequency(docs: DataFrame, text_col: str, dims: int, orders: tuple[int, ...], lower: bool) -> tuple[np.ndarray, int]:
     """Texts that hold each dimension, and texts, over all rows; one short vector a task is summed."""
 
+    @shared.tidy
     def run(batches):
         total = np.zeros(dims, dtype=np.int64)
         n = 0

@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     some = usable.where(ngrams.sampled("__id", rates[F.col("__label")], 11))
     picked = docs.select(id_col, text_col).join(F.broadcast(some), F.col(id_col) == F.col("__id")).select("__id", "__label", F.col(text_col).alias("__text"))
 
+    @shared.tidy
     def run(batches):
         for batch in batches:
             for lo, hi, x in features(batch["__text"].tolist(), weights):
@@ -132,6 +133,7 @@ def score(docs: DataFrame, model: Latent, text_col: str = "text", column: str =
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @shared.tidy
     def run(batches):
         m = sent.value
         for batch in batches:

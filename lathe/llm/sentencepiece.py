@@ -18,14 +18,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose paths a worker remembers at most.
-MEMO = 400_000
+MEMO = 100_000
+#: Characters of the texts that are encoded between two outputs, or one longer text.
+SLICE = 1 << 20
 #: The unknown score lies this far below the lowest piece score.
 UNKNOWN_GAP = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -86,6 +89,8 @@ class Model:
                 self.types.append(kind)
             elif number == 3:
                 for n, v in _fields(value):
+                    if n == 2 and v:
+                        raise ValueError("the model maps characters before it encodes; such models are not supported")
                     if n == 3:
                         self.dummy_prefix = bool(v)
                     elif n == 4:
@@ -226,17 +231,16 @@ def encode_texts(docs: DataFrame, text_col: str = "text", into: str = "ids", mod
     if check:
         fields.append(f"`{check}` boolean")
 
+    @shared.tidy
     def run(batches):
         model = _model(data.value)
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
-                texts = part[text_col].tolist()
-                ids = [None if t is None else np.asarray(model.encode(t), dtype=np.int32) for t in texts]
-                out = part.assign(**{into: ids})
-                if check:
-                    out[check] = [None if t is None else _same(model, t, i.tolist()) for t, i in zip(texts, ids)]
-                yield out
+        for part in shared.slices(batches, SLICE, text_col):
+            texts = part[text_col].tolist()
+            ids = [None if t is None else np.asarray(model.encode(t), dtype=np.int32) for t in texts]
+            out = part.assign(**{into: ids})
+            if check:
+                out[check] = [None if t is None else _same(model, t, i.tolist()) for t, i in zip(texts, ids)]
+            yield out
 
     return docs.mapInPandas(run, ", ".join(fields))
 
@@ -251,10 +255,13 @@ def _same(model: Model, text: str, ids: list[int]) -> bool:
 
 
 def decode_ids(tokens: DataFrame, ids_col: str = "ids", into: str = "decoded", model_path: str = MODEL) -> DataFrame:
-    """Adds the text of each id array; null arrays give null."""
+    """Adds the text of each id array; null arrays give null, empty ones an empty text. Other columns pass unchanged."""
+    if into in tokens.columns:
+        raise ValueError("the new column must not clash with a column of the table")
     data = tokens.sparkSession.sparkContext.broadcast(read_model(model_path))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields] + [f"`{into}` string"]
 
+    @shared.tidy
     def run(batches):
         model = _model(data.value)
         for batch in batches:
@@ -264,12 +271,15 @@ def decode_ids(tokens: DataFrame, ids_col: str = "ids", into: str = "decoded", m
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_ids and round_trip (decoding gives the text again) of each whole text."""
+    """doc_id, ids, n_ids and round_trip (decoding gives the text again) of each whole text.
+
+    A null text has null ids, no round trip and 0 ids; an empty one has empty
+    ids. Of paths of equal score the one with the longer last piece is taken,
+    at each place. Repeated rows are encoded each; an empty table gives no
+    rows; extra columns are not read.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = encode_texts(slim, model_path=model_path, check="round_trip")
     return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip").withColumn(
         "n_ids", F.when(F.col("ids").isNull(), F.lit(0)).otherwise(F.col("n_ids"))
     )
-
-
-

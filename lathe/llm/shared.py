@@ -7,30 +7,62 @@ numpy over whole buffers.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK = 8 << 20
-
-_own_scratch: list[str] = []
+CHUNK = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_scratch:
-            _own_scratch.append(tempfile.mkdtemp(prefix="lathe-scratch-"))
-        base = _own_scratch[0]
+    """A new folder in the cluster's shared folder, or in the session's warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lathe-{uuid.uuid4().hex}"
 
 
+def release() -> None:
+    """Give the memory that a worker no longer uses back to the system: idle workers live on beside the next stages."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function for mapInPandas that releases its memory when its partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def slices(batches, size: int, *texts: str) -> Iterator:
+    """The batches in slices of about ``size`` characters of the text columns, or one longer row: memory does not grow with the length of texts."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        total = np.full(len(batch), 64, dtype=np.int64)
+        for t in texts:
+            total += np.fromiter((len(x) if x is not None else 0 for x in batch[t]), np.int64, len(batch))
+        piece = np.cumsum(total) // size
+        edges = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        for lo, hi in zip(edges, [*edges[1:], len(batch)]):
+            yield batch.iloc[lo:hi]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_dir(df.sparkSession)
