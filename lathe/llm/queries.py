@@ -38,7 +38,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(read(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,20 +69,46 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+_VECTORS = """
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op5_exact_topk": """
+    "op5_exact_topk": f"""
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
-  FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  {_VECTORS}
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum([a * b FOR a, i IN q.e FOR b IN [c.e[i]]]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.rid AS query, q.vec_id AS query_id, c.rid AS rid, c.vec_id AS vec_id,
+         CASE WHEN len(q.e) = len(c.e) THEN CAST(list_inner_product(q.e, c.e) AS BIGINT) END AS score
+  FROM v q JOIN v c ON q.rid <> c.rid
+  WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
-         vec_id, score
-  FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id, rid) AS INTEGER) AS rank, vec_id, score
+  FROM s WHERE score IS NOT NULL
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op6_embedding_dedup": f"""
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS rid, * FROM embeddings), v AS (
+  SELECT rid, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  {_VECTORS.replace("embeddings", "every")} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT rid, vec_id, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v
+), link AS (
+  SELECT a.rid AS a, a.vec_id AS x, b.rid AS b, b.vec_id AS y
+  FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93
+), reach AS (
+  SELECT a, x AS least FROM link UNION SELECT a, y FROM link
+  UNION
+  SELECT l.a, r.least FROM link l JOIN reach r ON l.b = r.a
+), n AS (SELECT x AS vec_id, a, count(*) AS n_links FROM link GROUP BY x, a),
+  m AS (SELECT a, min(least) AS component_id FROM reach GROUP BY a)
+SELECT every.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, every.vec_id) AS component_id,
+       coalesce(component_id, every.vec_id) = every.vec_id AS kept
+FROM every LEFT JOIN n ON n.a = every.rid LEFT JOIN m ON m.a = every.rid
 """,
 }

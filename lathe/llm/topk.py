@@ -43,24 +43,23 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _tile(k: int):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         queries, shard = tile[tile["q"]], tile[~tile["q"]]
-        out = {"query_id": [], "vec_id": [], "score": []}
-        by_dim_q = queries.groupby(queries["v"].map(len))
-        by_dim_c = {d: g for d, g in shard.groupby(shard["v"].map(len))}
-        for dim, qs in by_dim_q:
-            cs = by_dim_c.get(dim)
+        out = {"query": [], "query_id": [], "row": [], "vec_id": [], "score": []}
+        shards = {d: g for d, g in shard.groupby(shard["v"].map(len))}
+        for dim, qs in queries.groupby(queries["v"].map(len)):
+            cs = shards.get(dim)
             if cs is None:
                 continue
-            ids = cs["vec_id"].to_numpy()
-            rows = products(shared.matrix(qs["v"]), shared.matrix(cs["v"]))
-            for row, qid in zip(rows, qs["vec_id"].to_numpy()):
-                at = best(np.where(ids == qid, np.iinfo(np.int64).min, row) if (ids == qid).any() else row, ids, k + 1)
-                at = [i for i in at if ids[i] != qid][:k]
-                out["query_id"].append(np.full(len(at), qid))
+            ids, own = cs["vec_id"].to_numpy(), cs["row"].to_numpy()
+            scores = products(shared.matrix(qs["v"]), shared.matrix(cs["v"]))
+            for line, query, query_id in zip(scores, qs["row"].to_numpy(), qs["vec_id"].to_numpy()):
+                at = best(line, ids, k + 1)
+                at = at[own[at] != query][:k]
+                out["query"].append(np.full(len(at), query))
+                out["query_id"].append(np.full(len(at), query_id))
+                out["row"].append(own[at])
                 out["vec_id"].append(ids[at])
-                out["score"].append(row[at])
-        if not out["query_id"]:
-            return pd.DataFrame({n: np.zeros(0, np.int64) for n in out})
-        return pd.DataFrame({n: np.concatenate(v).astype(np.int64) for n, v in out.items()})
+                out["score"].append(line[at])
+        return pd.DataFrame({n: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for n, v in out.items()})
 
     return run
 
@@ -79,25 +78,29 @@ def top_k(
     score; ties go to the smaller id; a query with fewer candidates gets all.
     Null ids, and vectors that are null, empty or hold null or non-finite
     components, take no part; vectors of another length are no candidates.
-    Repeated rows of one id count once per distinct vector id and score. An
-    empty table gives no rows. Extra columns are not read.
+    Every row is a vector of its own: a repeated row is a candidate of the
+    others, and a repeated query row has results of its own. An empty table
+    gives no rows. Extra columns are not read.
     """
     base = vectors.where(F.col(id_col).isNotNull() & shared.finite_vector(vector_col)).select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
-    ).dropDuplicates(["vec_id", "v"])
-    base = shared.materialize(base)
+    )
+    # Written once, so that the row numbers stay the same when a task is run again.
+    base = shared.materialize(base.withColumn("row", F.monotonically_increasing_id()))
     counts = base.agg(F.count("*").alias("n"), F.count_if("q").alias("nq")).first()
     shards = max(1, -(-counts["n"] // SHARD))
     blocks = max(1, -(-counts["nq"] // QUERY_BLOCK))
-    place = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    place = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = base.where("q").select("vec_id", "v", "q", place(blocks, 1).alias("block"), each(shards).alias("shard"))
-    shard = base.select("vec_id", "v", F.lit(False).alias("q"), each(blocks).alias("block"), place(shards, 2).alias("shard"))
-    tiles = queries.unionByName(shard).groupBy("block", "shard").applyInPandas(_tile(k), "query_id long, vec_id long, score long")
-    order = [F.col("score").desc(), F.col("vec_id").asc()]
-    salted = tiles.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(min(MERGE_SALTS, shards))))
-    merged = salted.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
-    final = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    queries = base.where("q").select("row", "vec_id", "v", "q", place(blocks, 1).alias("block"), each(shards).alias("shard"))
+    shard = base.select("row", "vec_id", "v", F.lit(False).alias("q"), each(blocks).alias("block"), place(shards, 2).alias("shard"))
+    tiles = queries.unionByName(shard).groupBy("block", "shard").applyInPandas(
+        _tile(k), "query long, query_id long, row long, vec_id long, score long"
+    )
+    order = [F.col("score").desc(), F.col("vec_id").asc(), F.col("row").asc()]
+    salted = tiles.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(min(MERGE_SALTS, shards))))
+    merged = salted.withColumn("rank", F.row_number().over(Window.partitionBy("query", "salt").orderBy(*order))).where(F.col("rank") <= k)
+    final = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
     return final.select("query_id", "rank", "vec_id", "score")
