@@ -10,38 +10,52 @@ emitted, beside the exact number of links of each vector.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
 
 COSINE = 0.93
-#: Distinct vectors of a label per pivot; pivots of one label at most.
+#: Distinct vectors of a label per pivot; pivots of one label, and of all labels, at most.
 PER_PIVOT = 4096
 MAX_PIVOTS = 256
+ALL_PIVOTS = 16384
 #: Vectors on either side of one block.
 BLOCK = 2048
 SLACK = 1e-9
 
 
 def _unit(vectors: list) -> np.ndarray:
+    """Unit rows; each is scaled by its largest component first, so that no square over- or underflows."""
     m = shared.matrix(vectors)
+    m = m / np.abs(m).max(axis=1)[:, None]
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
 def _assign(pivots: dict, threshold: float):
-    """Home cell and replicas of each vector."""
+    """Home cell and replicas of each vector; parts without pivots are one cell."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     gaps = {key: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for key, p in pivots.items()}
 
+    @shared.tidy
     def run(batches):
         for batch in batches:
             ids, cells, home, keys, vecs, ns = [], [], [], [], [], []
             for key, part in batch.groupby("part", sort=False):
-                p = pivots[key]
+                p = pivots.get(key)
+                if p is None:
+                    ids.append(part["cid"].to_numpy())
+                    ns.append(part["n"].to_numpy())
+                    cells.append(np.zeros(len(part), np.int64))
+                    home.append(np.ones(len(part), bool))
+                    keys.append(np.full(len(part), key, dtype=object))
+                    vecs += part["v"].tolist()
+                    continue
                 unit = _unit(part["v"].tolist())
                 cos = unit @ p.T
                 near = cos.argmax(axis=1)
@@ -74,27 +88,38 @@ def _join(threshold: float):
         hit = a @ b.T >= threshold
         hit &= ai[:, None] != bi[None, :]
         links = hit @ bn
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        for i, j in zip(*np.nonzero(hit)):
-            x, y = find(int(ai[i])), find(int(bi[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        seen = dict.fromkeys([*ai.tolist(), *parent])
-        count = dict(zip(ai.tolist(), links.tolist()))
-        rows = [(x, count.get(x, 0), find(x)) for x in seen]
-        rows = [r for r in rows if r[1] or r[0] != r[2]]
-        return pd.DataFrame(rows, columns=["cid", "links", "root"]).astype(np.int64)
+        root_a, root_b = _smallest(hit, ai, bi)
+        mine, theirs = links > 0, (root_b < bi) & hit.any(axis=0)
+        return pd.DataFrame(
+            {
+                "cid": np.concatenate([ai[mine], bi[theirs]]),
+                "links": np.concatenate([links[mine], np.zeros(theirs.sum(), np.int64)]),
+                "root": np.concatenate([root_a[mine], root_b[theirs]]),
+            }
+        ).astype(np.int64)
 
     return run
 
 
+def _smallest(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column reaches by the links of a block, in rounds over the whole block.
+
+    A vector that stands on both sides has one label, so both sides are matched by id between the rounds.
+    """
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = ids.copy()
+    none = np.iinfo(np.int64).max
+    linked = hit.any(axis=1)
+    ia, ib, hit = at[: len(a)][linked], at[len(a) :], hit[linked]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, ia, np.where(hit, label[ib][None, :], none).min(axis=1, initial=none))
+        np.minimum.at(label, ib, np.where(hit, label[ia][:, None], none).min(axis=0, initial=none))
+        label = np.minimum(label, label[np.searchsorted(ids, label)])
+        if (label == before).all():
+            return label[at[: len(a)]], label[at[len(a) :]]
+
+
 def dedup_vectors(
     vectors: DataFrame,
     threshold: float = COSINE,
@@ -109,8 +134,9 @@ def dedup_vectors(
     null, zero, or hold null or non-finite components, rows of null label or
     null id, link with nothing. Only vectors of one length are compared.
     Repeated rows count as further vectors that link with each other. An empty
-    table gives no rows; extra columns are not read. Pivots (at most
-    MAX_PIVOTS per label) go to the driver, nothing else does.
+    table gives no rows; extra columns are not read. Only pivots go to the
+    driver and to all tasks, at most ALL_PIVOTS whatever the number of labels;
+    labels too small for two pivots are one cell each.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
@@ -123,13 +149,15 @@ def dedup_vectors(
     classes = shared.materialize(
         good.groupBy("part", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"))
     )
-    classes = classes.withColumn("order", F.xxhash64("part", "v"))
-    sizes = classes.groupBy("part").agg(F.count("*").alias("n")).collect()
-    picked: dict[str, list] = {}
-    for s in sizes:
-        want = min(MAX_PIVOTS, max(1, s["n"] // PER_PIVOT))
-        top = classes.where(F.col("part") == s["part"]).orderBy("order", "cid").limit(want).select("v").collect()
-        picked[s["part"]] = _unit([r["v"] for r in top])
+    total = classes.count()
+    per_pivot = max(PER_PIVOT, -(-total // ALL_PIVOTS))
+    # Every label with two pivots has as many times per_pivot vectors, which bounds their sum by ALL_PIVOTS.
+    wanted = classes.groupBy("part").agg(F.least(F.floor(F.count("*") / per_pivot), F.lit(MAX_PIVOTS)).alias("want")).where("want > 1")
+    placed = classes.join(wanted, "part").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("v"), "cid")))
+    picked: dict[str, list] = defaultdict(list)
+    for r in placed.where(F.col("nth") <= F.least("want", F.lit(MAX_PIVOTS))).where(F.col("nth") <= MAX_PIVOTS).select("part", "nth", "v").orderBy("part", "nth").toLocalIterator():
+        picked[r["part"]].append(r["v"])
+    picked = {part: _unit(vectors) for part, vectors in picked.items()}
     slim = classes.select("part", "cid", "n", "v")
     cells = shared.materialize(
         slim.mapInPandas(_assign(picked, threshold), "part string, cell int, cid long, n long, home boolean, v array<double>")
