@@ -1,7 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source starts with the same fractional copy count, target
-over source size. Its whole part is taken at once; the fraction is rounded by
+over source size. Rows of one id, source and size are one unit, counted before
+anything is shuffled, so that a common id is no hot group; its rows share the
+unit's copies evenly. The whole part is taken at once; the fraction is rounded by
 pivotal steps: two fractional documents exchange words, one gaining what the
 other loses, until one of them is a whole copy. Which way the words move is
 drawn so that expectations hold. Buckets of documents are rounded in parallel;
@@ -24,8 +26,8 @@ from . import shared
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
-#: Documents rounded together in one task step.
-BUCKET = 8192
+#: Units (equal rows together) rounded in one step; sources get as many buckets as they need.
+BUCKET = 1024
 #: Residuals that one node of the reduction tree combines.
 FAN_IN = 256
 
@@ -86,20 +88,19 @@ def pivotal(size: np.ndarray, fraction: np.ndarray, draw: np.ndarray) -> tuple[n
     return up, open_row, open_p
 
 
-_STATE = "row_key long, source string, size long, fraction double, draw double, copies long"
+_COLUMNS = ["row_key", "doc_id", "source", "size", "times", "fraction", "draw", "copies"]
 
 
 def _round_group(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["size", "draw", "row_key"], kind="stable").reset_index(drop=True)
     up, row, p = pivotal(group["size"].to_numpy(), group["fraction"].to_numpy(), group["draw"].to_numpy())
-    copies = group["copies"].to_numpy() + up
     fraction = np.zeros(len(group))
     if row >= 0:
         fraction[row] = p
-    return group.assign(copies=copies, fraction=fraction)[["row_key", "source", "size", "fraction", "draw", "copies"]]
+    return group.assign(copies=group["copies"].to_numpy() + up, fraction=fraction)[_COLUMNS]
 
 
-def mix(
+def mix_units(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -109,89 +110,76 @@ def mix(
     cap: float = CAP,
     seed: int = 7,
 ) -> DataFrame:
-    """Copies of each row that bring every source near its target.
+    """Copies that bring every source near its target, per unit of rows of equal id, source and size.
 
-    Returns one row per input row: doc_id, source, size, source_size, target,
-    copies, taken. Null texts have size 0; rows of size 0 take one copy (no
-    words). The null source is a source, last in order. Equal rows are
-    interchangeable. Extra columns are not read. An empty table gives no rows.
-    One row per source (its total) goes to the driver.
+    Returns doc_id, source, size, source_size, target, times (rows of the unit)
+    and copies (of all of them together). Null texts have size 0; rows of size
+    0 take one copy each (no words). The null source is a source, last in
+    order. Extra columns are not read. An empty table gives no rows. One row
+    per source (its total) goes to the driver.
     """
     spark = docs.sparkSession
     word = r"[^\x20\x09-\x0D]+"
-    rows = shared.materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(word)), F.lit(0)).cast("long").alias("size"),
-        )
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(word)), F.lit(0)).cast("long").alias("size"),
     )
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    units = shared.materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")))
+    totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["source_size"] for r in totals]
     target = fair_targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
-    buckets = max(1, -(-sum(r["n"] for r in totals) // BUCKET))
+    # One row per source, as the totals above.
     plan = spark.createDataFrame(
-        [(r["source"], int(r["source_size"]), float(t), t / r["source_size"] if r["source_size"] else 0.0) for r, t in zip(totals, target)],
-        "source string, source_size long, target double, ratio double",
-    )
-    with_plan = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-        F.col("r.doc_id"), F.col("r.source"), F.col("r.size"), F.col("p.source_size"), F.col("p.target"), F.col("p.ratio")
+        [
+            (r["source"], int(r["source_size"]), float(t), t / r["source_size"] if r["source_size"] else 0.0, max(1, -(-r["n"] // BUCKET)))
+            for r, t in zip(totals, target)
+        ],
+        "source string, source_size long, target double, ratio double, buckets long",
     )
-    whole = F.when(F.col("size") > 0, F.floor("ratio")).otherwise(F.lit(1)).cast("long")
-    start = with_plan.select(
-        "*",
-        whole.alias("copies"),
-        F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(F.lit(0.0)).alias("fraction"),
-        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("row_key"),
+    by_source = lambda df: df.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    mean = F.when(F.col("size") > 0, F.col("ratio") * F.col("times")).otherwise(F.col("times").cast("double"))
+    kind = units.schema["doc_id"].dataType
+    start = by_source(units).select(
+        F.col("doc_id").cast("string").alias("doc_id"),  # pandas would make a float of a number with nulls
+        "source",
+        "size",
+        "times",
+        F.floor(mean).cast("long").alias("copies"),
+        (mean - F.floor(mean)).alias("fraction"),
+        F.xxhash64("doc_id", "source", "size", F.lit(seed)).alias("row_key"),
+        "buckets",
     ).withColumn("draw", F.pmod(F.xxhash64(F.col("row_key"), F.lit(seed + 1)), F.lit(1 << 52)) / float(1 << 52))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "row_key", "fraction", "draw"]
-    keep = [f for f in start.select(*columns).schema.fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep)
-
-    def first_level(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "draw", "row_key"], kind="stable").reset_index(drop=True)
-        up, row, p = pivotal(group["size"].to_numpy(), group["fraction"].to_numpy(), group["draw"].to_numpy())
-        fraction = np.zeros(len(group))
-        if row >= 0:
-            fraction[row] = p
-        return group.assign(copies=group["copies"].to_numpy() + up, fraction=fraction)[columns]
-
-    bucketed = start.withColumn("bucket", F.pmod(F.xxhash64("row_key", F.lit(seed + 2)), F.lit(buckets)))
-    done = shared.materialize(
-        bucketed.groupBy("source", "bucket").applyInPandas(lambda g: first_level(g), schema)
-    )
-    # One residual per source and bucket is open; the tree closes them level by level.
-    residual = done.where(F.col("fraction") > 0).select("row_key", "doc_id", "source", "size", "fraction", "draw", "copies")
-    state = "row_key long, source string, size long, fraction double, draw double, copies long"
-    level, groups, closed = residual.drop("doc_id"), buckets, None
+    # A unit's key sorts it, and no two units of a bucket have equal size, draw and key, unless two keys of 64 bits collide.
+    bucketed = start.withColumn("node", F.pmod(F.xxhash64("row_key", F.lit(seed + 2)), F.col("buckets")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in start.select(*_COLUMNS).schema.fields)
+    groups = max((max(1, -(-r["n"] // BUCKET)) for r in totals), default=1)
+    level, closed = bucketed, None
+    # Each bucket leaves one open unit at most; the tree closes them level by level.
     while True:
-        groups = -(-groups // FAN_IN)
-        keyed = level.withColumn("node", F.pmod(F.xxhash64("row_key", F.lit(seed + 10 + groups)), F.lit(groups)))
-        level = shared.materialize(keyed.groupBy("source", "node").applyInPandas(lambda g: _round_group(g), state))
+        level = shared.materialize(level.groupBy("source", "node").applyInPandas(lambda g: _round_group(g), schema))
         part = level.where(F.col("fraction") == 0)
         closed = part if closed is None else closed.unionByName(part)
         level = level.where(F.col("fraction") > 0)
         if groups == 1:
             break
+        groups = -(-groups // FAN_IN)
+        level = level.withColumn("node", F.pmod(F.xxhash64("row_key", F.lit(seed + 10 + groups)), F.lit(groups)))
     last = level.withColumn("copies", F.col("copies") + (F.col("draw") < F.col("fraction")).cast("long"))
-    closed = closed.unionByName(last).select("row_key", "source", "size", F.col("copies").alias("final"))
-    closed = closed.groupBy("row_key", "source", "size").agg(F.min("final").alias("final"))
-    fixed = done.alias("d").join(
-        closed.alias("c"),
-        (F.col("d.fraction") > 0)
-        & (F.col("d.row_key") == F.col("c.row_key"))
-        & F.col("d.source").eqNullSafe(F.col("c.source"))
-        & (F.col("d.size") == F.col("c.size")),
-        "left",
-    )
-    copies = F.coalesce(F.col("c.final"), F.col("d.copies"))
-    return fixed.select(
-        F.col("d.doc_id"),
-        F.col("d.source"),
-        F.col("d.size"),
-        F.col("d.source_size"),
-        F.col("d.target"),
-        copies.alias("copies"),
-        (copies * F.col("d.size")).alias("taken"),
-    )
+    done = by_source(closed.unionByName(last))
+    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", "times", "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Copies of each row that bring every source near its target; ``options`` are those of ``mix_units``.
+
+    Returns one row per input row: doc_id, source, size, source_size, target,
+    copies, taken. Equal rows are interchangeable: their copies differ by one
+    at most. Nulls, empty texts and tables, extra columns: as in ``mix_units``.
+    """
+    units = mix_units(docs, id_col, text_col, source_col, **options)
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")
+    each = units.select("doc_id", "source", "size", "source_size", "target", "copies", "times", nth)
+    copies = F.floor(F.col("copies") / F.col("times")).cast("long") + (F.col("nth") <= F.col("copies") % F.col("times")).cast("long")
+    return each.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
