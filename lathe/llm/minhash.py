@@ -10,7 +10,7 @@ probability of the (weighted) Jaccard similarity.
 Signatures are cut into bands; documents that share a band become candidates.
 A text is compared with the first member of the bucket that holds it most often,
 then members of buckets that stay in other components are compared with the bucket's remaining ones inside blocks, by
-their full signatures. What passes is verified exactly on the whole texts.
+their full signatures, and what passes there by the whole shingle sets.
 With 40 bands of 5 coordinates a pair of similarity 0.8 shares no bucket with
 probability 1.3e-7.
 """
@@ -215,7 +215,7 @@ def _shingle_sets(batches):
 def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     """Similar pairs between the two sides of a block that join different components.
 
-    A pair is looked at in the first band it shares, and not at all once other
+    The sets are those that ``_exact`` compares, so only pairs that hold join components. A pair is looked at in the first band it shares, and not at all once other
     pairs of the block have joined its components.
     """
     own, other = block[block["mine"]], block[~block["mine"]]
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = own.unionByName(other).groupBy("band", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
     more = shared.materialize(more)
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, slim))
+        links = links.unionByName(more)
         groups = components(links)
 
     final = classes.select(*key, "text_id").join(groups.withColumnRenamed("id", "text_id"), "text_id", "left")
