@@ -62,7 +62,8 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     df, n = ngrams.document_frequency(known, text_col, DIMS, ORDERS, True)
     weights = ngrams.idf(df, n)
     rates = F.create_map(*[F.lit(v) for lang, c in per_lang for v in (lang, ngrams.sample_rate(c, SAMPLE))])
-    some = known.where(ngrams.sampled(id_col, rates[F.col(lang_col).cast("string")], 5) & F.col(text_col).rlike(r"\p{L}"))
+    # Equal texts count once, so that no common id or text brings more than its share.
+    some = known.where(ngrams.sampled([id_col, text_col], rates[F.col(lang_col).cast("string")], 5) & F.col(text_col).rlike(r"\p{L}")).dropDuplicates([lang_col, text_col])
 
     @shared.tidy
     def features(batches):
@@ -92,6 +93,8 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", columns:
     The model has a fixed number of dimensions and a few centroids a language.
     """
     pred, score, rejected = columns
+    if {*columns, "__has_letter"} & set(docs.columns):
+        raise ValueError("the new columns must not clash with columns of the table")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*fields, f"`{pred}` string", f"`{score}` double", f"`{rejected}` boolean"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -129,5 +132,3 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = F.coalesce(shared.remainder("doc_id", 4) == 2, F.lit(False))
     model = fit(slim, ~held)
     return predict(slim.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
-
-

@@ -79,7 +79,7 @@ def sample_rate(total: int, wanted: int) -> float:
     return 1.0 if total <= wanted else wanted / total
 
 
-def sampled(id_col: str, rate, seed: int):
-    """A condition that holds for about ``rate`` of the ids, the same ones on every run."""
+def sampled(cols: list[str], rate, seed: int):
+    """A condition that holds for about ``rate`` of the distinct values of the columns, the same ones on every run."""
     rate = rate if not isinstance(rate, float) else F.lit(rate)
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) < rate * float(1 << 40)
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40)) < rate * float(1 << 40)

@@ -94,8 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         return empty
     rates = F.create_map(*[F.lit(v) for k, c in sorted(sizes.items()) for v in (k, ngrams.sample_rate(c, SAMPLE // 2))])
     # About SAMPLE ids at most, whatever the number of labels: small enough to broadcast.
-    some = usable.where(ngrams.sampled("__id", rates[F.col("__label")], 11))
+    some = usable.where(ngrams.sampled(["__id"], rates[F.col("__label")], 11))
     picked = docs.select(id_col, text_col).join(F.broadcast(some), F.col(id_col) == F.col("__id")).select("__id", "__label", F.col(text_col).alias("__text"))
+    # An id may have many rows: equal texts count once, and of different ones no more than wanted are drawn.
+    rows_of = {r[0]: r[1] for r in picked.groupBy("__label").count().collect()}
+    if any(c > SAMPLE for c in rows_of.values()):
+        again = F.create_map(*[F.lit(v) for k, c in sorted(rows_of.items()) for v in (k, ngrams.sample_rate(c, SAMPLE // 2))])
+        picked = picked.where(ngrams.sampled(["__id", "__text"], again[F.col("__label")], 13))
+    picked = picked.dropDuplicates(["__label", "__text"])
 
     @shared.tidy
     def run(batches):
@@ -130,6 +136,8 @@ def vote(model: Latent, x: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Latent, text_col: str = "text", column: str = "score") -> DataFrame:
     """Adds a score from 0 to 1; empty and null texts are scored as texts without features."""
+    if column in docs.columns:
+        raise ValueError("the new column must not clash with a column of the table")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
