@@ -212,20 +212,45 @@ def _shingle_sets(batches):
         yield pd.DataFrame({"id": part["id"], "set": sets})
 
 
+def _candidates(own: pd.DataFrame, other: pd.DataFrame):
+    """For each row of one side, the places of the other side's rows that the signatures leave possible.
+
+    A pair is looked at in the first band it shares, and only if its components differ.
+    """
+    b = np.frombuffer(b"".join(other["sig"]), np.uint8).reshape(len(other), -1)
+    bands, comps = np.vstack(other["bands"].to_list()), other["component"].to_numpy()
+    here = own["band"].iloc[0]
+    for c, s, mine in zip(own["component"], own["sig"], own["bands"]):
+        mine = np.asarray(mine)
+        first = mine[(bands == mine).argmax(axis=1)] == here
+        yield np.flatnonzero(first & (comps != c) & (_agree(np.frombuffer(s, np.uint8)[None, :], b) >= ESTIMATE))
+
+
+def _live_rows(block: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block with a possible partner in it; only those need their shingle sets."""
+    own, other = block[block["mine"]], block[~block["mine"]]
+    named: set[int] = set()
+    if len(own) and len(other):
+        ids = other["id"].to_numpy()
+        for i, at in zip(own["id"], _candidates(own, other)):
+            if len(at):
+                named.add(i)
+                named.update(ids[at].tolist())
+    return pd.DataFrame({"band": np.full(len(named), block["band"].iloc[0]), "id": np.array(sorted(named), dtype=np.int64)})
+
+
 def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     """Similar pairs between the two sides of a block that join different components.
 
-    The sets are those that ``_exact`` compares, so only pairs that hold join components. A pair is looked at in the first band it shares, and not at all once other
-    pairs of the block have joined its components.
+    The sets are those that ``_exact`` compares, so only pairs that hold join
+    components. A pair is not looked at once others of the block have joined
+    its components.
     """
     own, other = block[block["mine"]], block[~block["mine"]]
     out = []
     if len(own) and len(other):
-        b = np.frombuffer(b"".join(other["sig"]), np.uint8).reshape(len(other), -1)
-        bands = np.vstack(other["bands"].to_list())
         ids, comps = other["id"].to_numpy(), other["component"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in other["set"]]
-        here = own["band"].iloc[0]
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -233,12 +258,9 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
                 x = parent[x]
             return x
 
-        for i, c, s, mine, x in zip(own["id"], own["component"], own["sig"], own["bands"], own["set"]):
-            same = bands == np.asarray(mine)
-            first = np.asarray(mine)[same.argmax(axis=1)] == here
-            hit = first & (comps != c) & (_agree(np.frombuffer(s, np.uint8)[None, :], b) >= ESTIMATE)
+        for i, c, x, at in zip(own["id"], own["component"], own["set"], _candidates(own, other)):
             x = np.frombuffer(x, np.uint64)
-            for j in np.flatnonzero(hit):
+            for j in at:
                 p, q = find(int(c)), find(int(comps[j]))
                 if p == q:
                     continue
@@ -249,6 +271,17 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
 
+def _blocks(rows: DataFrame, columns: list[str]):
+    """Rows of a bucket dealt to blocks of bounded size: own rows against all rows."""
+    shape = rows.groupBy("band").agg(F.ceil(F.count_if("own") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("nj"))
+    dealt = rows.join(shape.where("ni > 0"), "band")
+    place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = dealt.where("own").select(*columns, F.lit(True).alias("mine"), place("ni", 1).alias("i"), each("nj").alias("j"))
+    other = dealt.select(*columns, F.lit(False).alias("mine"), each("ni").alias("i"), place("nj", 2).alias("j"))
+    return own.unionByName(other).groupBy("band", "i", "j")
+
+
 @shared.tidy
 def _exact(batches):
     for part in shared.slices(batches, SLICE, "ta", "tb"):
@@ -307,17 +340,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = tagged.withColumn("open", F.col("own") & ~F.coalesce(F.col("met") == F.col("head"), F.lit(False)))
     tagged = shared.materialize(tagged.select("band", "id", "component", "own", "open"))
     shape = tagged.groupBy("band").agg(F.count_if("own").alias("rest"), F.count_if("open").alias("open"), F.count("*").alias("n"))
-    shape = shape.where("rest > 0 and (n > 2 or open > 0)")
-    shape = shape.select("band", F.ceil(F.col("rest") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / OTHER_BLOCK).cast("int").alias("nj"))
-    met = shared.materialize(tagged.drop("open").join(shape, "band"))
+    shape = shape.where("rest > 0 and (n > 2 or open > 0)").select("band")
+    met = tagged.drop("open").join(shape, "band")
+    columns = ["band", "id", "component", "sig", "bands"]
+    # Signatures first: few rows have a possible partner left, and only their texts are fetched.
+    live = shared.materialize(_blocks(met.join(reps, "id"), columns).applyInPandas(_live_rows, "band long, id long").distinct())
+    met = shared.materialize(met.join(live, ["band", "id"]))
     sets = shared.materialize(_texts(met.select("id"), slim).mapInPandas(_shingle_sets, "id long, set binary").distinct())
     dealt = met.join(reps, "id").join(sets, "id")
-    place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["band", "id", "component", "sig", "bands", "set"]
-    own = dealt.where("own").select(*columns, F.lit(True).alias("mine"), place("ni", 1).alias("i"), each("nj").alias("j"))
-    other = dealt.select(*columns, F.lit(False).alias("mine"), each("ni").alias("i"), place("nj", 2).alias("j"))
-    more = own.unionByName(other).groupBy("band", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
+    more = _blocks(dealt, [*columns, "set"]).applyInPandas(_block_pairs, "a long, b long").distinct()
     more = shared.materialize(more)
     if not more.isEmpty():
         links = links.unionByName(more)
