@@ -29,6 +29,11 @@ UNKNOWN = "und"
 QUANTILE, LENIENCE = 0.001, 0.5
 
 
+def _terms(texts: list[str | None]):
+    """Blocks of counts of byte n-grams, A-Z lowered."""
+    return ngrams.counts(texts, DIMS, ORDERS, True)
+
+
 @dataclass
 class Centroids:
     weights: np.ndarray
@@ -59,7 +64,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     per_lang = sorted((r[0], r[1]) for r in known.groupBy(F.col(lang_col).cast("string")).count().collect())
     if not per_lang:
         return Centroids(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    df, n = ngrams.document_frequency(known, text_col, DIMS, ORDERS, True)
+    df, n = ngrams.document_frequency(known, text_col, DIMS, _terms)
     weights = ngrams.idf(df, n)
     rates = F.create_map(*[F.lit(v) for lang, c in per_lang for v in (lang, ngrams.sample_rate(c, SAMPLE))])
     # Equal texts count once, so that no common id or text brings more than its share.
@@ -68,7 +73,7 @@ def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     @shared.tidy
     def features(batches):
         for batch in batches:
-            for lo, hi, c in ngrams.counts(batch[text_col].tolist(), DIMS, ORDERS, True):
+            for lo, hi, c in _terms(batch[text_col].tolist()):
                 x = ngrams.weigh(c, weights).astype(np.float16)
                 yield pd.DataFrame({"lang": batch[lang_col].iloc[lo:hi].to_numpy(), "x": [r.tobytes() for r in x]})
 
@@ -104,7 +109,7 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", columns:
     def run(batches):
         m = sent.value
         for batch in batches:
-            for lo, hi, c in ngrams.counts(batch[text_col].tolist(), DIMS, ORDERS, True):
+            for lo, hi, c in _terms(batch[text_col].tolist()):
                 part = batch.iloc[lo:hi]
                 ok = part[letters].to_numpy()
                 if m.langs:

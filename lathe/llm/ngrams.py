@@ -44,15 +44,15 @@ def counts(texts: list[str | None], dims: int, orders: tuple[int, ...], lower: b
         yield lo, lo + len(part), out
 
 
-def document_frequency(docs: DataFrame, text_col: str, dims: int, orders: tuple[int, ...], lower: bool) -> tuple[np.ndarray, int]:
-    """Texts that hold each dimension, and texts, over all rows; one short vector a task is summed."""
+def document_frequency(docs: DataFrame, text_col: str, dims: int, terms) -> tuple[np.ndarray, int]:
+    """Texts that hold each dimension of ``terms`` (a function like ``counts``), and texts, over all rows; one short vector a task is summed."""
 
     @shared.tidy
     def run(batches):
         total = np.zeros(dims, dtype=np.int64)
         n = 0
         for batch in batches:
-            for _, _, c in counts(batch[text_col].tolist(), dims, orders, lower):
+            for _, _, c in terms(batch[text_col].tolist()):
                 total += (c > 0).sum(axis=0)
                 n += len(c)
         yield pd.DataFrame({"dim": np.arange(-1, dims), "n": np.concatenate(([n], total))})

@@ -1,7 +1,9 @@
 """Quality classification by nearest-neighbour voting on latent-semantic vectors.
 
-Texts become TF-IDF vectors of hashed byte n-grams and repetition marks; a
-truncated singular value decomposition of a bounded labelled sample gives the
+Texts become TF-IDF vectors of hashed terms: byte n-grams, and words' shapes
+(how many capitals, small letters, digits and other signs, and whether the word
+repeats one just before it), single and in pairs. All terms are weighted alike,
+by their frequency in all documents; a truncated singular value decomposition of a bounded labelled sample gives the
 latent space. The sample's latent vectors and labels are broadcast (the bound
 is SAMPLE), and the cosine of every document with every one of them is computed
 exactly, in blocks. The nearest NEIGHBOURS vote, weighted by similarity.
@@ -19,15 +21,16 @@ from pyspark.sql import functions as F
 from . import ngrams, shared
 
 DIMS = 4096
-MARKS = 64
+#: Dimensions of the word shapes.
+SHAPES = 512
 ORDERS = (2, 3)
 #: Labelled rows that the model is fitted on, about, half of them of each label.
 SAMPLE = 4096
 RANK = 64
 NEIGHBOURS = 25
 THRESHOLD = 0.3
-#: How strongly similarity decides a vote, and the weight of the repetition marks.
-SHARPNESS, MARK_WEIGHT = 8.0, 2.0
+#: How strongly similarity decides a vote.
+SHARPNESS = 8.0
 
 
 @dataclass
@@ -39,36 +42,39 @@ class Latent:
     prior: float
 
 
-def repetition(texts: list[str | None]) -> np.ndarray:
-    """Shares that tell repeated, shouted and symbol-ridden texts, each as a soft position code."""
-    n = len(texts)
-    shares = np.zeros((n, 4))
-    for buffer, starts, docs in shared.pieces(texts, 2 << 20):
+def shapes(texts: list[str | None]) -> np.ndarray:
+    """Counts of hashed word shapes and of pairs of neighbouring ones, per text."""
+    out = np.zeros(len(texts) * SHAPES)
+    for buffer, starts, docs in shared.pieces(texts):
         raw, first, last, doc, h = shared.words(buffer, starts, docs)
         if not len(h):
             continue
-        same = np.zeros(len(h))
-        same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        upper = (raw >= 65) & (raw <= 90)
-        symbol = ((raw >= 33) & (raw <= 47) & (raw != 44) & (raw != 46)) | ((raw >= 58) & (raw <= 64)) | ((raw >= 91) & (raw <= 96)) | ((raw >= 123) & (raw <= 126))
-        bounds = np.append(starts, len(raw))
-        up, sym = np.append(0, np.cumsum(upper)), np.append(0, np.cumsum(symbol))
-        np.add.at(shares[:, 0], doc, same)
-        np.add.at(shares[:, 1], docs, up[bounds[1:]] - up[bounds[:-1]])
-        np.add.at(shares[:, 2], docs, sym[bounds[1:]] - sym[bounds[:-1]])
-        np.add.at(shares[:, 3], doc, 1.0)
-    count = np.maximum(shares[:, 3], 1)
-    level = np.stack([shares[:, 0] / count, shares[:, 1] / count / 2, shares[:, 2] / count / 2, np.log1p(shares[:, 3]) / 12], axis=1)
-    grid = np.linspace(0, 1, MARKS // 4)
-    soft = np.exp(-(((np.sqrt(np.clip(level, 0, 1))[:, :, None] - grid) * 10) ** 2))
-    return (soft / np.linalg.norm(soft, axis=2, keepdims=True)).reshape(n, MARKS).astype(np.float32)
+        within = lambda x: (lambda c: c[last] - c[first])(np.append(0, np.cumsum(x)))  # noqa: B023,E731
+        upper = within((raw >= 65) & (raw <= 90))
+        lower = within(((raw >= 97) & (raw <= 122)) | (raw >= 128))
+        digits = within((raw >= 48) & (raw <= 57))
+        others = last - first - upper - lower - digits
+        code = np.minimum(upper, 3) + 4 * np.minimum(lower, 2) + 12 * np.minimum(digits, 2) + 36 * np.minimum(others, 3)
+        for back in (1, 2):
+            if len(h) > back:
+                code[back:] += 144 * back * ((h[back:] == h[:-back]) & (doc[back:] == doc[:-back]))
+        pair = doc[1:] == doc[:-1]
+        for mark, shape, of in ((1, code, doc), (2, (code[:-1] * 1009 + code[1:])[pair], doc[1:][pair])):
+            slot = shared.mix64(shape.astype(np.uint64) + np.uint64(mark * 1_000_000_000)) % np.uint64(SHAPES)
+            out += np.bincount(of * SHAPES + slot.astype(np.int64), minlength=len(out))
+    return out.reshape(len(texts), SHAPES).astype(np.float32)
+
+
+def terms(texts: list[str | None]):
+    """(first row, last row, counts of byte n-grams and word shapes) of blocks of texts."""
+    for lo, hi, c in ngrams.counts(texts, DIMS, ORDERS, False):
+        yield lo, hi, np.hstack([c, shapes(texts[lo:hi])])
 
 
 def features(texts: list[str | None], weights: np.ndarray):
     """(first row, last row, unit feature rows) of blocks of texts."""
-    for lo, hi, c in ngrams.counts(texts, DIMS, ORDERS, False):
-        x = np.hstack([ngrams.weigh(c, weights), repetition(texts[lo:hi]) * np.float32(MARK_WEIGHT / 2)])
-        yield lo, hi, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for lo, hi, c in terms(texts):
+        yield lo, hi, ngrams.weigh(c, weights)
 
 
 def _right_vectors(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
@@ -83,13 +89,13 @@ def _right_vectors(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Latent:
     """Fit on labelled rows where ``training`` (over the label table's id) holds."""
-    df, n = ngrams.document_frequency(docs, text_col, DIMS, ORDERS, False)
+    df, n = ngrams.document_frequency(docs, text_col, DIMS + SHAPES, terms)
     weights = ngrams.idf(df, n)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & training).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")
     ).distinct()
     sizes = {r[0]: r[1] for r in usable.groupBy("__label").count().collect()}
-    empty = Latent(weights, np.zeros((DIMS + MARKS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 0.5)
+    empty = Latent(weights, np.zeros((DIMS + SHAPES, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 0.5)
     if not sizes:
         return empty
     rates = F.create_map(*[F.lit(v) for k, c in sorted(sizes.items()) for v in (k, ngrams.sample_rate(c, SAMPLE // 2))])
