@@ -2,12 +2,13 @@
 
 Pages are put in order of host and URL path; the nearest of the two neighbours
 of a host (the one with the longer common path) is a page's partner. The lines
-of both are aligned by longest common subsequence, and lines that both share
-are template and are deleted. Differencing alone can't give the main text
-where menus and notices differ from page to page, and would delete an article
-that two pages share; so elements that are no article by their tag, role, class
-or id (by the last word of a name, and not if they hold an article) go first, and
-lines inside an article or main element are never deleted.
+of both, those of menus and notices too, are aligned by longest common
+subsequence, and lines that both share are template and are deleted.
+Differencing alone can't give the main text where menus and notices differ from
+page to page, and would delete an article that two pages share. So lines inside
+an article or main element are never deleted, and of the lines that are left
+those go whose element is no article by its tag, role, class or id (by the last
+word of a name, and not if it holds an article).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Parts of the page order that a page is dealt to; at most this many edges go to the driver.
-PARTS = 1024
+#: Parts of the page order that a page is dealt to; at most two keys of each go to the driver.
+PARTS = 1 << 16
 #: Rows per part aimed at.
 PART_ROWS = 512
 
@@ -51,7 +54,7 @@ NAMES = {
 #: First words of classes that only say what else a page has.
 LAYOUT = {"has", "no", "not", "with", "without", "is", "hide", "show"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -83,10 +86,24 @@ def _marks(token: str) -> bool:
     return bool(words) and LAYOUT.isdisjoint(words) and words[-1] in NAMES
 
 
+@dataclass(frozen=True)
+class Line:
+    """A text block: whether it stands in an article or main element, and whether in one that is no article."""
+
+    text: str
+    main: bool = False
+    aside: bool = False
+
+
 def lines(page: str | None) -> list[tuple[str, bool]]:
-    """Text blocks of a page outside boilerplate elements, and whether each stands in an article or main element.
+    """Text blocks of a page outside boilerplate elements, and whether each stands in an article or main element."""
+    return [(x.text, x.main) for x in all_lines(page) if not x.aside]
+
+
+def all_lines(page: str | None) -> list[Line]:
+    """All text blocks of a page.
 
-    An element that a class or id marks is read after all if it holds an article or main element.
+    An element that a class or id marks as no article is one after all if it holds an article or main element.
     """
     if not page:
         return []
@@ -94,52 +111,57 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     return _read(page, holders)[0] if holders else out
 
 
-def _read(page: str, holders: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
-    """The blocks, and the places of the marked elements that hold an article; those of ``holders`` are read."""
-    out: list[tuple[str, bool]] = []
-    buffer: list[str] = []
+def _read(page: str, holders: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
+    """The blocks, and the places of the marked elements that hold an article; those of ``holders`` are read as articles."""
+    out: list[Line] = []
+    inside: list[str] = []
+    beside: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []
+    opened: Counter[str] = Counter()
     found: set[int] = set()
     skipping = mains = 0
 
     def flush() -> None:
-        if buffer:
-            text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
-            buffer.clear()
-            if text:
-                out.append((text, mains > 0))
+        for held, aside in ((beside, True), (inside, False)):
+            if held and (aside or not skipping):
+                text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+                held.clear()
+                if text:
+                    out.append(Line(text, mains > 0 and not aside, aside))
 
     def pop() -> None:
         nonlocal skipping, mains
-        _, skip, main, _ = stack.pop()
+        tag, skip, main, _ = stack.pop()
+        opened[tag] -= 1
         skipping -= skip
         mains -= main
 
+    def put(text: str) -> None:
+        (beside if skipping else inside).append(text)
+
     at = 0
     n = len(page)
     lower = None
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            if not skipping:
-                buffer.append(page[at:])
+            put(page[at:])
             break
-        if not skipping and m.start() > at:
-            buffer.append(page[at : m.start()])
+        if m.start() > at:
+            put(page[at : m.start()])
         at = m.end()
-        tag = m[2]
+        # An attribute whose quote is never closed ends with its tag.
+        closing_tag, tag, attributes = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not skipping:
-                buffer.append(m[0][9:-3])
+            if m[0].startswith("<![CDATA["):
+                put(m[0][9:-3])
             continue
         tag = tag.lower()
         block = tag in BLOCKS or tag in SKIP
-        if block and not skipping:
+        if block:
             flush()
-        if m[1]:
-            if any(t[0] == tag for t in stack):
-                if block and not skipping:
-                    flush()
+        if closing_tag:
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -161,13 +183,17 @@ def _read(page: str, holders: frozenset[int]) -> tuple[list[tuple[str, bool]], f
                 pop()
         if tag in BLOCKS and stack and stack[-1][0] == "p":
             pop()
-        (never, named), main = _boilerplate(tag, m[3]), tag in MAIN
+        (never, named), main = _boilerplate(tag, attributes), tag in MAIN
+        if never and tag == "header" and mains and not skipping:
+            never = False  # an article's own header holds its title
         if main and not never:
             found.update(place for *_, place in stack if place >= 0)
         skip = never or named and m.start() not in holders
         stack.append((tag, skip, main, m.start() if named else -1))
+        opened[tag] += 1
         skipping += skip
         mains += main
+    skipping = 0
     flush()
     return out, frozenset(found)
 
@@ -203,16 +229,6 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host and path of a URL, without scheme, query and fragment."""
-    if not url:
-        return "", ""
-    rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url.strip())
-    rest = re.split(r"[?#]", rest, maxsplit=1)[0]
-    host, _, path = rest.partition("/")
-    return host.lower(), path
-
-
 def _shared_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     for i in range(n):
@@ -222,17 +238,21 @@ def _shared_prefix(a: str, b: str) -> int:
 
 
 def difference(own: list[tuple[str, bool]], partner: list[tuple[str, bool]]) -> str:
-    """The page's text without template lines that its partner shares.
+    """The text of lines, each with whether it stands in an article, without those that the partner shares."""
+    return main_text([Line(*x) for x in own], [Line(*x) for x in partner])[0]
+
+
+def main_text(own: list[Line], partner: list[Line]) -> tuple[str, int]:
+    """The page's text without the lines that its partner shares and those beside the article, and the number of shared lines deleted.
 
-    Lines of articles stay. If all other lines are shared, the pages are copies
-    of each other and nothing is deleted.
+    Lines of articles stay. If all lines that the elements don't mark are
+    shared, the pages are copies of each other, and only marked ones are deleted.
     """
-    if partner and not all(main for _, main in own):
-        both = common([t for t, _ in own], [t for t, _ in partner])
-        free = [i for i, (_, main) in enumerate(own) if not main]
-        if any(main for _, main in own) or not all(i in both for i in free):
-            own = [x for i, x in enumerate(own) if x[1] or i not in both]
-    return " ".join(t for t, _ in own)
+    both = common([x.text for x in own], [x.text for x in partner]) if partner else set()
+    free = [i for i, x in enumerate(own) if not x.main and not x.aside]
+    copies = not any(x.main for x in own) and all(i in both for i in free)
+    shared_lines = {i for i in both if own[i].aside or not own[i].main and not copies}
+    return " ".join(x.text for i, x in enumerate(own) if i not in shared_lines and not x.aside), len(shared_lines)
 
 
 @shared.tidy
@@ -250,12 +270,12 @@ def _walk(batches):
                 near = _shared_prefix(other[2], current[2])
                 if best is None or near > best[0]:
                     best = (near, other)
-        text = difference(current[6], best[1][6] if best else [])
-        done.append((current[3], current[4], text, len(text)))
+        text, deleted = main_text(current[6], best[1][6] if best else [])
+        done.append((current[3], current[4], text, len(text), deleted))
 
     for batch in batches:
         for part, host, path, page_id, url, page, halo in zip(batch["part"], batch["host"], batch["path"], batch["page_id"], batch["url"], batch["html"], batch["halo"]):
-            nxt = (part, host, path, page_id, url, halo, lines(page))
+            nxt = (part, host, path, page_id, url, halo, all_lines(page))
             finish(nxt)
             before, current = current, nxt
         if len(done) >= 256:
@@ -267,11 +287,11 @@ def _walk(batches):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": pd.array([r[0] for r in rows], dtype="object"), "url": [r[1] for r in rows], "text": [r[2] for r in rows], "n_chars": [r[3] for r in rows]})
+    return pd.DataFrame({"page_id": pd.array([r[0] for r in rows], dtype="object"), "url": [r[1] for r in rows], "text": [r[2] for r in rows], "n_chars": [r[3] for r in rows], "n_template_lines": [r[4] for r in rows]})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page.
+    """page_id, url, text, n_chars (code points) and n_template_lines (those that differencing deleted) of every page.
 
     Null and empty html give an empty text; null URLs form a host of their own.
     Repeated rows are pages of their own; an empty table gives no rows; extra
@@ -315,7 +335,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stream = dealt.repartition(width, "part").sortWithinPartitions("part", "host", "path", number, F.xxhash64("html"))
     kind = keyed.schema["page_id"].dataType.simpleString()
-    return stream.mapInPandas(_walk, f"page_id {kind}, url string, text string, n_chars long")
+    return stream.mapInPandas(_walk, f"page_id {kind}, url string, text string, n_chars long, n_template_lines long")
 
 
 def _order(host: str, path: str, number: int) -> tuple[bytes, bytes, int]:
