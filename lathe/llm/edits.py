@@ -1,10 +1,12 @@
 """Edit-aware token counts.
 
 A text is cut into pre-tokens by the tokenizer's pattern; a segment tree over
-them holds token counts and lengths, sums in the inner nodes. An edit replaces
-a span of characters: the touched pre-tokens and a few around them are cut
-again until the new cut meets an old one, only the changed ones are encoded,
-and only the sums above them are updated.
+them holds token counts and lengths, sums in the inner nodes. The trees are a
+table, a row per document: ``build_trees`` encodes each text once, and
+``apply_edits`` reads stored trees, changes them and returns them, so an edit
+costs what it touches. An edit replaces a span of characters: the touched
+pre-tokens and a few around them are cut again until the new cut meets an old
+one, only the changed ones are encoded, and only the sums above them are updated.
 
 The cut at a place depends on the text from there on and on nothing before it,
 but a pre-token may need what follows: so the new cut starts one pre-token
@@ -27,7 +29,25 @@ from . import shared
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+MEMO = 100_000
+#: Characters of the texts that are held as trees at once, or one longer text.
+SLICE = 1 << 20
+
+
+class _ZIP:
+    """Packed arrays of small numbers; the packer is made in the worker that needs it."""
+
+    @staticmethod
+    def compress(data: bytes) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=1).compress(data)
+
+    @staticmethod
+    def decompress(data: bytes) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(data)
 
 
 class Counter:
@@ -57,12 +77,14 @@ class SegmentTree:
     """Pre-tokens of a text in a balanced tree of sums: characters and tokens below each node.
 
     Leaves are chunks of pre-tokens, so that a changed number of pre-tokens
-    changes one leaf and not the shape of the tree.
+    changes one leaf and not the shape of the tree; a leaf that grew beyond
+    twice its size is cut, and the sums are laid out anew.
     """
 
     counter: Counter
     text: str
     leaf: int = 64
+    stored: tuple[bytes, bytes] | None = None
     pieces: list[list[str]] = field(default_factory=list)
     counts: list[list[int]] = field(default_factory=list)
     chars: list[np.ndarray] = field(default_factory=list)
@@ -70,12 +92,25 @@ class SegmentTree:
     encoded: int = 0
 
     def __post_init__(self) -> None:
-        cut = self.counter.cut.findall(self.text)
-        count = self.counter.count
-        sizes = [count(p) for p in cut]
+        if self.stored is None:
+            cut = self.counter.cut.findall(self.text)
+            count = self.counter.count
+            sizes = [count(p) for p in cut]
+        else:
+            lengths, sizes = (np.frombuffer(_ZIP.decompress(x), np.uint32) for x in self.stored)
+            ends = np.cumsum(lengths, dtype=np.int64).tolist()
+            cut = [self.text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            sizes = sizes.tolist()
+        self._fill(cut, sizes)
+
+    def _fill(self, cut: list[str], sizes: list[int]) -> None:
+        self.pieces, self.counts = [], []
         for lo in range(0, max(len(cut), 1), self.leaf):
             self.pieces.append(cut[lo : lo + self.leaf])
             self.counts.append(sizes[lo : lo + self.leaf])
+        self._sums()
+
+    def _sums(self) -> None:
         chars = np.array([sum(map(len, p)) for p in self.pieces], dtype=np.int64)
         tokens = np.array([sum(c) for c in self.counts], dtype=np.int64)
         self.chars, self.tokens = [chars], [tokens]
@@ -85,6 +120,20 @@ class SegmentTree:
             self.chars.append(chars)
             self.tokens.append(tokens)
 
+    def _split(self, leaf: int) -> None:
+        """Cut a leaf that grew too large; its parts take its place."""
+        n = len(self.pieces[leaf])
+        if n > 2 * self.leaf:
+            for held in (self.pieces, self.counts):
+                held[leaf : leaf + 1] = [held[leaf][lo : lo + self.leaf] for lo in range(0, n, self.leaf)]
+            self._sums()
+
+    def store(self) -> tuple[bytes, bytes]:
+        """Lengths and token counts of the pre-tokens, packed."""
+        lengths = np.fromiter((len(p) for leaf in self.pieces for p in leaf), np.uint32)
+        sizes = np.fromiter((c for leaf in self.counts for c in leaf), np.uint32)
+        return _ZIP.compress(lengths.tobytes()), _ZIP.compress(sizes.tobytes())
+
     @property
     def total(self) -> int:
         return int(self.tokens[-1][0])
@@ -169,6 +218,7 @@ class SegmentTree:
             self.pieces[first_leaf][first_k:end_k] = fresh
             self.counts[first_leaf][first_k:end_k] = sizes
             self._update(first_leaf)
+            self._split(first_leaf)
             return
         self.pieces[first_leaf][first_k:] = fresh
         self.counts[first_leaf][first_k:] = sizes
@@ -179,6 +229,7 @@ class SegmentTree:
         del self.pieces[end_leaf][:end_k]
         del self.counts[end_leaf][:end_k]
         self._update(end_leaf)
+        self._split(first_leaf)
 
 
 _counters: dict[int, Counter] = {}
@@ -192,41 +243,84 @@ def _counter(data: bytes) -> Counter:
     return _counters[key]
 
 
-def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY) -> DataFrame:
-    """Token counts of each whole text before and after its edits.
-
-    ``edits`` is array<struct<start:int, stop:int, new:string>> over the row:
-    character spans of the text as the edits before have left it. Returns
-    doc_id, n_tokens, n_tokens_edited, n_pretokens, n_recut (pre-tokens cut and
-    encoded again for the edits), n_chars_edited. A null text is an empty one;
-    null edits, and null fields in one, change nothing; spans outside the text
-    are clipped. Each row stands for itself, so repeated rows, empty tables and
-    extra columns need no rule.
+_TREE = "text string, lengths binary, counts binary, n_tokens long, n_pretokens long"
+
+
+def _vocabulary(docs: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """doc_id, text, lengths and counts of its pre-tokens (the leaves of its tree), n_tokens, n_pretokens.
+
+    A null text is an empty one. Each row has a tree of its own, so repeated
+    rows, empty tables and extra columns need no rule.
     """
-    with open(vocabulary_path, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
+    sent = _vocabulary(docs, vocabulary_path)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     @shared.tidy
     def run(batches):
         counter = _counter(sent.value)
-        for batch in batches:
+        for part in shared.slices(batches, SLICE, "text"):
             rows = []
-            for text, changes in zip(batch["text"], batch["edits"]):
+            for text in part["text"]:
                 tree = SegmentTree(counter, text)
+                rows.append((text, *tree.store(), tree.total, sum(map(len, tree.pieces))))
+            frame = pd.DataFrame(rows, columns=["text", "lengths", "counts", "n_tokens", "n_pretokens"])
+            frame.insert(0, "doc_id", part["doc_id"].to_numpy())
+            yield frame
+
+    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {_TREE}")
+
+
+def apply_edits(trees: DataFrame, edits: Column, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """The trees after their edits, with n_tokens_before, n_pretokens_before and n_recut (pre-tokens cut and encoded again).
+
+    ``trees`` has the columns of ``build_trees`` or of this function, ``edits``
+    is array<struct<start:int, stop:int, new:string>> over a row: character
+    spans of the text as the edits before have left it. Null edits, and null
+    fields in one, change nothing; spans outside the text are clipped. Nothing
+    but what an edit touches is encoded.
+    """
+    sent = _vocabulary(trees, vocabulary_path)
+    columns = ["doc_id", "text", "lengths", "counts", "n_tokens", "n_pretokens"]
+    slim = trees.select(*columns, edits.alias("edits"))
+
+    @shared.tidy
+    def run(batches):
+        counter = _counter(sent.value)
+        for part in shared.slices(batches, SLICE, "text"):
+            rows = []
+            for text, lengths, counts, changes in zip(part["text"], part["lengths"], part["counts"], part["edits"]):
+                tree = SegmentTree(counter, text, stored=(lengths, counts))
                 before, pretokens = tree.total, sum(map(len, tree.pieces))
                 for e in changes if changes is not None else ():
                     if e is not None and e["start"] is not None and e["stop"] is not None and e["new"] is not None:
                         tree.edit(int(e["start"]), int(e["stop"]), e["new"])
-                rows.append((before, tree.total, pretokens, tree.encoded, len(tree.text)))
-            frame = pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_pretokens", "n_recut", "n_chars_edited"], dtype=np.int64)
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
+                rows.append((tree.text, *tree.store(), tree.total, sum(map(len, tree.pieces)), before, pretokens, tree.encoded))
+            frame = pd.DataFrame(rows, columns=[*columns[1:], "n_tokens_before", "n_pretokens_before", "n_recut"])
+            frame.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield frame
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_pretokens long, n_recut long, n_chars_edited long"
-    )
+    return slim.mapInPandas(run, f"doc_id {kind}, {_TREE}, n_tokens_before long, n_pretokens_before long, n_recut long")
+
+
+def count_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """Token counts of each whole text before and after its edits, by its stored tree.
+
+    Returns doc_id, n_tokens, n_tokens_edited, n_pretokens, n_recut,
+    n_chars_edited. The trees are written to the shared folder first and read
+    back for the edits, which may read doc_id and text. Nulls, empty texts, repeated rows and clipping: as in
+    ``build_trees`` and ``apply_edits``; an empty table gives no rows.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    trees = shared.materialize(build_trees(slim, vocabulary_path=vocabulary_path))
+    done = apply_edits(trees.withColumn("edits", edits), F.col("edits"), vocabulary_path)
+    first = F.col("n_tokens_before").alias("n_tokens")
+    return done.select("doc_id", first, F.col("n_tokens").alias("n_tokens_edited"), F.col("n_pretokens_before").alias("n_pretokens"), "n_recut", F.length("text").cast("long").alias("n_chars_edited"))
 
 
 def standing_edits(text_col: str = "text") -> Column:
