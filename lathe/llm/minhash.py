@@ -34,8 +34,8 @@ ESTIMATE = 0.65
 OWN_BLOCK, OTHER_BLOCK = 512, 4096
 #: Characters of the texts that a worker describes at once, or one longer text.
 SLICE = 1 << 20
-#: Bits of the filter for texts that some pair names.
-FILTER_BITS = 1 << 22
+#: Bits of a filter of keys, at most.
+FILTER_BITS = 1 << 26
 _M = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = -6
 
@@ -271,15 +271,16 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
 
-def _blocks(rows: DataFrame, columns: list[str]):
-    """Rows of a bucket dealt to blocks of bounded size: own rows against all rows."""
+def _blocks(rows: DataFrame, values: DataFrame):
+    """Rows of a bucket dealt to blocks of bounded size, own rows against all rows, with the values of their ids."""
     shape = rows.groupBy("band").agg(F.ceil(F.count_if("own") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("nj"))
     dealt = rows.join(shape.where("ni > 0"), "band")
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "id", "component"]
     own = dealt.where("own").select(*columns, F.lit(True).alias("mine"), place("ni", 1).alias("i"), each("nj").alias("j"))
     other = dealt.select(*columns, F.lit(False).alias("mine"), each("ni").alias("i"), place("nj", 2).alias("j"))
-    return own.unionByName(other).groupBy("band", "i", "j")
+    return own.unionByName(other).join(values, "id").groupBy("band", "i", "j")
 
 
 @shared.tidy
@@ -318,13 +319,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     reps = classes.select(F.col("text_id").alias("id"), "bands", "sig")
     rows = reps.select("id", F.explode("bands").alias("band"))
-    first = rows.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    bucket = shared.materialize(rows.join(first, "band").select("band", "id", "head"))
+    first = shared.materialize(rows.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    bucket = shared.materialize(_maybe(rows, first, "band").join(first, "band").select("band", "id", "head"))
     # Each text meets the head that it shares most bands with; the blocks below do the rest.
     shares = bucket.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
     star = shares.groupBy(F.col("id").alias("b")).agg(F.min(F.struct(-F.col("n"), F.col("head").alias("head"))).alias("m")).select(F.col("m.head").alias("a"), "b")
-    sig_a = reps.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    sig_b = reps.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
+    star = shared.materialize(star)
+    asked = _maybe(reps.select("id", "sig"), star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    sig_a = asked.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
+    sig_b = asked.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     likely = shared.materialize(star.join(sig_b, "b").join(sig_a, "a").mapInPandas(_plausible, "a long, b long"))
     links = _verified(likely, slim)
     groups = components(links)
@@ -341,14 +344,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = shared.materialize(tagged.select("band", "id", "component", "own", "open"))
     shape = tagged.groupBy("band").agg(F.count_if("own").alias("rest"), F.count_if("open").alias("open"), F.count("*").alias("n"))
     shape = shape.where("rest > 0 and (n > 2 or open > 0)").select("band")
-    met = tagged.drop("open").join(shape, "band")
-    columns = ["band", "id", "component", "sig", "bands"]
+    met = shared.materialize(tagged.drop("open").join(shape, "band"))
     # Signatures first: few rows have a possible partner left, and only their texts are fetched.
-    live = shared.materialize(_blocks(met.join(reps, "id"), columns).applyInPandas(_live_rows, "band long, id long").distinct())
+    marks = _maybe(reps, met.select("id").distinct(), "id")
+    live = shared.materialize(_blocks(met, marks).applyInPandas(_live_rows, "band long, id long").distinct())
     met = shared.materialize(met.join(live, ["band", "id"]))
     sets = shared.materialize(_texts(met.select("id"), slim).mapInPandas(_shingle_sets, "id long, set binary").distinct())
-    dealt = met.join(reps, "id").join(sets, "id")
-    more = _blocks(dealt, [*columns, "set"]).applyInPandas(_block_pairs, "a long, b long").distinct()
+    marks = _maybe(reps, met.select("id").distinct(), "id").join(sets, "id")
+    more = _blocks(met, marks).applyInPandas(_block_pairs, "a long, b long").distinct()
     more = shared.materialize(more)
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -363,15 +366,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _maybe(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be one of ``named``'s: a bitmap of bounded size keeps most others out of the shuffles.
+
+    The bitmap grows with the keys up to FILTER_BITS / 64 rows; a fuller one lets more pass, and the join that follows is exact.
+    """
+    count, bits = named.count(), 1 << 16
+    while bits < min(16 * count, FILTER_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bitmap = named.select(key).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    passed = rows.withColumn("__word", word).join(F.broadcast(bitmap), "__word").where(F.col("__bits").bitwiseAND(bit) != 0)
+    return passed.drop("__word", "__bits")
+
+
 def _texts(named: DataFrame, slim: DataFrame) -> DataFrame:
-    """(id, text) of the rows whose id is named; most others are kept out of the shuffle."""
+    """(id, text) of the rows whose id is named."""
     named = shared.materialize(named.distinct())
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    # A bitmap of fixed size: FILTER_BITS / 64 rows at most.
-    bitmap = named.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    passed = slim.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    return passed.select("id", "text").join(named, "id")
+    return _maybe(slim, named, "id").select("id", "text").join(named, "id")
 
 
 def _verified(pairs: DataFrame, slim: DataFrame) -> DataFrame:
