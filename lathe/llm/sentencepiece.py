@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from . import shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose paths a worker remembers at most.
+#: Words whose paths a worker remembers at most, twice.
 MEMO = 100_000
 #: Characters of the texts that are encoded between two outputs, or one longer text.
 SLICE = 1 << 20
@@ -109,7 +110,9 @@ class Model:
         self.automaton.make_automaton()
         self.crossing = any(re.search(f"[^{MARK}]{MARK}", self.pieces[i]) for i in normal)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        # Words seen lately, and those of the time before: common words outlive a full memo.
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.text_of = [("" if t in (CONTROL, UNUSED) else p) for p, t in zip(self.pieces, self.types)]
         self.text_of[self.unknown] = " ⁇ "
 
@@ -129,27 +132,24 @@ class Model:
         best, back, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         reached = 0
-
-        def settle(to: int) -> None:
-            nonlocal reached
-            while reached < to:
+        single = [False] * (n + 1)
+        # The last match, of no length, settles the places after all others.
+        for end, (length, score, i) in chain(self.automaton.iter(s), ((n, (0, low, -1)),)):
+            while reached < end:
                 reached += 1
                 if single[reached] or best[reached - 1] == low:
                     continue
-                score = best[reached - 1] + self.unknown_score
-                if score > best[reached]:
-                    best[reached], back[reached], piece[reached] = score, reached - 1, self.unknown
-
-        single = [False] * (n + 1)
-        for end, (length, score, i) in self.automaton.iter(s):
+                last = best[reached - 1] + self.unknown_score
+                if last > best[reached]:
+                    best[reached], back[reached], piece[reached] = last, reached - 1, self.unknown
+            if not length:
+                break
             at = end + 1
-            settle(end)
             score += best[at - length]
             if length == 1:
                 single[at] = True
             if score > best[at]:
                 best[at], back[at], piece[at] = score, at - length, i
-        settle(n)
         path: list[int] = []
         at = n
         while at:
@@ -168,9 +168,10 @@ class Model:
         for word in self.split(s):
             path = memo.get(word)
             if path is None:
-                path = self.viterbi(word)
+                path = self.older.get(word) or self.viterbi(word)
                 if len(memo) >= MEMO:
-                    memo.clear()
+                    self.older, self.memo = memo, {}
+                    memo = self.memo
                 if len(word) <= 64:
                     memo[word] = path
             ids += path
@@ -181,6 +182,8 @@ class Model:
         byte_of, text_of = self.byte_of, self.text_of
         out: list[str] = []
         held = bytearray()
+        if byte_of.keys().isdisjoint(ids):
+            out, ids = [text_of[i] for i in ids], ()
         for i in ids:
             b = byte_of.get(i)
             if b is not None:
