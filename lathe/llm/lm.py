@@ -12,9 +12,17 @@ Because every smoothed probability is that of the suffix times a factor, the
 log probability of a text is a sum of terms that belong to single keys: words,
 contexts, and contexts with their next token. Texts fetch the base terms of
 frequent words from a broadcast table (a fixed share of all tokens bounds its
-size) and all other terms by one join on the key. A bitmap of bounded size keeps
+size) and all other terms by a join on the key. A bitmap of bounded size keeps
 most keys without a term out of that join; a key that it lets pass wrongly finds
 no term.
+
+The suffixes of a context end in the same word, so the tree falls into
+independent parts by the last word of its contexts. PASSES parts are grown and
+their terms added to the texts' sums one after another, each over the texts as
+word numbers; what a part wrote and shuffled is deleted before the next. All
+parts together are the whole tree; their number bounds the disk that counts and
+terms of a part take, not what is counted. A single word's contexts stay in one
+part.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ DEPTH = 3
 P_FREQUENT = 2.5e-7
 #: On small inputs a word needs this many occurrences besides.
 LEAST_FREQUENT = 16
+#: Parts of the tree that are grown one after another.
+PASSES = 16
 #: Bits of the bitmap of keys with terms, and of one part of it.
 MOST_BITS, PART_BITS = 1 << 28, 1 << 14
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -70,12 +80,21 @@ def _pair_key(context: str, nxt: str) -> Column:
     return F.col(context).bitwiseXOR(F.shiftleft(nxt, 21).bitwiseOR(F.shiftrightunsigned(nxt, 43)))
 
 
-def contexts(h: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
-    """(depth, places, context, parent, pair with the next token, next token) of each depth."""
+def _part(h: np.ndarray, passes: int) -> np.ndarray:
+    """The part of the tree that holds the contexts with this last word; ``_part_key`` is the same in SQL."""
+    return (h >> np.uint64(32)) % np.uint64(passes)
+
+
+def _part_key(h: str, passes: int) -> Column:
+    return F.shiftrightunsigned(h, 32) % passes
+
+
+def contexts(h: np.ndarray, doc: np.ndarray, chosen: np.ndarray, depth: int = DEPTH):
+    """(depth, places, context, parent, pair with the next token, next token) of each depth, of contexts that end at the chosen places."""
     nxt = np.append(h[1:], _END)
     nxt[np.append(doc[1:] != doc[:-1], True)] = _END
-    at = np.arange(len(h))
-    context = h
+    at = chosen
+    context = h[at]
     parent = np.zeros(len(at), dtype=np.uint64)
     for k in range(1, depth + 1):
         if k > 1:
@@ -88,24 +107,77 @@ def contexts(h: np.ndarray, doc: np.ndarray, depth: int = DEPTH):
         yield k, at, context, parent, _pair(context, nxt[at]), nxt[at]
 
 
-@shared.tidy
-def _grams(batches):
-    """Counts of (context, next token) in training texts, summed within a slice."""
-    for batch in shared.slices(batches, 4 << 20, "text"):
-        h, doc = shared.word_hashes(batch["text"].tolist(), lower=True)
-        if not len(h):
-            continue
-        for k, _, context, parent, pair, nxt in contexts(h, doc):
-            u, first, n = np.unique(pair, return_index=True, return_counts=True)
+_CODED = "row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, ids binary, rare binary"
+
+
+def _code(frequent, end):
+    """A row per text: the sums of its frequent words and its words as their numbers, the hashes of other words apart."""
+
+    @shared.tidy
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        by_number, known, base = frequent.value
+        number = np.argsort(by_number)
+        keys = by_number[number]
+        for part in shared.slices(batches, 1 << 20, "text"):
+            n = len(part)
+            h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
+            hit, spot = _is_frequent(keys, h)
+            ids = np.full(len(h), -1, dtype=np.int32)
+            ids[hit] = number[spot[hit]]
+            add = lambda v: np.bincount(doc[hit], weights=v[ids[hit]], minlength=n)  # noqa: B023,E731
+            edges = np.searchsorted(doc, np.arange(n + 1))
+            rest, rest_edges = h[~hit], np.searchsorted(doc[~hit], np.arange(n + 1))
             yield pd.DataFrame(
                 {
-                    "context": shared.signed(context[first]),
-                    "parent": shared.signed(parent[first]),
-                    "next": shared.signed(nxt[first]),
-                    "depth": np.full(len(u), k, dtype=np.int8),
-                    "n": n,
+                    "row": row + np.arange(n),
+                    "doc_id": part["doc_id"].to_numpy(),
+                    "held_out": part["held_out"].to_numpy(),
+                    "n_tokens": np.diff(edges) + 1,
+                    "known": (add(known) + end[0]).astype(np.int64) if len(keys) else np.full(n, end[0]),
+                    "base": add(base) + end[1] if len(keys) else np.full(n, end[1]),
+                    "ids": [ids[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:])],
+                    "rare": [rest[lo:hi].tobytes() for lo, hi in zip(rest_edges[:-1], rest_edges[1:])],
                 }
             )
+            row += n
+
+    return run
+
+
+def _words_of(part: pd.DataFrame, by_number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and whether it is frequent of every word of coded texts, in text order."""
+    ids = np.frombuffer(b"".join(part["ids"]), np.int32)
+    doc = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part["ids"]])
+    hit = ids >= 0
+    h = np.empty(len(ids), dtype=np.uint64)
+    h[hit] = by_number[ids[hit]].view(np.uint64)
+    h[~hit] = np.frombuffer(b"".join(part["rare"]), np.uint64)
+    return h, doc, hit
+
+
+def _grams(frequent, i: int, passes: int):
+    """Counts of (context, next token) of a part of the tree in training texts, summed within a slice."""
+
+    @shared.tidy
+    def run(batches):
+        for batch in shared.slices(batches, 16 << 20, "ids", "rare"):
+            h, doc, _ = _words_of(batch, frequent.value[0])
+            for k, _, context, parent, pair, nxt in contexts(h, doc, np.flatnonzero(_part(h, passes) == i)):
+                u, first, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pd.DataFrame(
+                    {
+                        "context": shared.signed(context[first]),
+                        "parent": shared.signed(parent[first]),
+                        "next": shared.signed(nxt[first]),
+                        "depth": np.full(len(u), k, dtype=np.int8),
+                        "n": n,
+                    }
+                )
+
+    return run
 
 
 def _retained(level: DataFrame) -> DataFrame:
@@ -120,8 +192,8 @@ def _retained(level: DataFrame) -> DataFrame:
     return level.withColumn("keep", gain > 1e-9).withColumn("here", F.when(F.col("keep"), here).otherwise(F.col("p")))
 
 
-def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
-    """(key, term) of the retained contexts and of their pairs with next tokens, log10."""
+def grow(grams: DataFrame, words: DataFrame, n: int, v: int, folder: str) -> DataFrame:
+    """(key, term) of the retained contexts and of their pairs with next tokens, log10; its tables go to the folder."""
     # Dealt by both first: a hot context comes to one task with its distinct next tokens only.
     summed = grams.groupBy("context", "next").agg(
         F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("depth").alias("depth")
@@ -129,20 +201,22 @@ def grow(grams: DataFrame, words: DataFrame, n: int, v: int) -> DataFrame:
     by = Window.partitionBy("context")
     seen = summed.select("*", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("t"), F.max("n").over(by).alias("most"))
     # A context whose next tokens all differ predicts none of its occurrences from the others.
-    seen = shared.materialize(seen.where("most > 1").drop("most"))
+    seen = shared.materialize(seen.where("most > 1").drop("most"), folder)
     root = words.select(F.col("h").alias("next"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
+    back_off = F.log10(F.col("t") / (F.col("total") + F.col("t")))
     terms, above = None, None
     for k in range(1, DEPTH + 1):
-        level = seen.where(F.col("depth") == k)
+        level = seen.where(F.col("depth") == k).drop("depth")
         if k == 1:
             level = level.join(root, "next")
         else:
             level = level.join(above.select(F.col("context").alias("parent"), "next", F.col("here").alias("p")), ["parent", "next"])
-        above = shared.materialize(_retained(level))
-        back_off = F.log10(F.col("t") / (F.col("total") + F.col("t")))
-        kept = above.where("keep")
-        new = kept.groupBy(F.col("context").alias("key")).agg(F.first(back_off).alias("term")).unionByName(
-            kept.select(_pair_key("context", "next").alias("key"), (F.log10("here") - F.log10("p") - back_off).alias("term"))
+        factor = F.when(F.col("keep"), F.log10("here") - F.log10("p") - back_off)
+        above = _retained(level).select("context", "next", "here", factor.alias("term"), back_off.alias("back_off"))
+        above = shared.materialize(above, folder)
+        kept = above.where("term is not null")
+        new = kept.groupBy(F.col("context").alias("key")).agg(F.first("back_off").alias("term")).unionByName(
+            kept.select(_pair_key("context", "next").alias("key"), "term")
         )
         terms = new if terms is None else terms.unionByName(new)
     return terms
@@ -180,77 +254,37 @@ def _maybe(bitmap: tuple[int, np.ndarray], key: np.ndarray) -> np.ndarray:
     return (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-_ROW = "row long, key long, times long, is_doc boolean, doc_id {id}, held_out boolean, n_tokens long, known long, base double"
-
-
-def _spread(frequent, bitmap, end):
-    """A row per text with the sums of its frequent words, and a row per text and further key."""
+def _spread(frequent, bitmap, i: int, passes: int):
+    """A row per text and key that may have a term in a part of the tree."""
 
     @shared.tidy
     def run(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        keys, known, base = frequent.value
-        for part in shared.slices(batches, 1 << 19, "text"):
-            n = len(part)
-            rows = row + np.arange(n)
-            h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
-            hit, spot = _is_frequent(keys, h)
-            add = lambda v: np.bincount(doc[hit], weights=v[spot[hit]], minlength=n)  # noqa: B023,E731
-            yield pd.DataFrame(
-                {
-                    "row": rows,
-                    "key": shared.signed(shared.mix64(rows.astype(np.uint64))),
-                    "times": np.zeros(n, np.int64),
-                    "is_doc": np.ones(n, bool),
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "held_out": part["held_out"].to_numpy(),
-                    "n_tokens": np.bincount(doc, minlength=n) + 1,
-                    "known": (add(known) + end[0]).astype(np.int64) if len(keys) else np.full(n, end[0]),
-                    "base": add(base) + end[1] if len(keys) else np.full(n, end[1]),
-                }
-            )
-            if len(h):
-                got_k, got_d = [], []
-                for k, at, context, _, pair, _ in contexts(h, doc):
-                    retained = _maybe(bitmap.value, context)
-                    # A word's base term has the key of its one-word context.
-                    send = retained | ~hit if k == 1 else retained
-                    seen = np.flatnonzero(retained)
-                    seen = seen[_maybe(bitmap.value, pair[seen])]
-                    got_k += [context[send], pair[seen]]
-                    got_d += [doc[at[send]], doc[at[seen]]]
-                key = np.concatenate(got_k)
-                if len(key):
-                    yield _key_rows(rows, key, np.concatenate(got_d))
-            row += n
+        for part in shared.slices(batches, 4 << 20, "ids", "rare"):
+            h, doc, hit = _words_of(part, frequent.value[0])
+            got_k, got_d = [], []
+            for k, at, context, _, pair, _ in contexts(h, doc, np.flatnonzero(_part(h, passes) == i)):
+                retained = _maybe(bitmap.value, context)
+                # A word's base term has the key of its one-word context.
+                send = retained | ~hit[at] if k == 1 else retained
+                seen = np.flatnonzero(retained)
+                seen = seen[_maybe(bitmap.value, pair[seen])]
+                got_k += [context[send], pair[seen]]
+                got_d += [doc[at[send]], doc[at[seen]]]
+            if not got_k:
+                continue
+            key, at = np.concatenate(got_k), np.concatenate(got_d)
+            order = np.lexsort((key, at))
+            key, at = key[order], at[order]
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))) if len(key) else np.zeros(0, np.int64)
+            rows = part["row"].to_numpy()
+            yield pd.DataFrame({"row": rows[at[new]], "key": shared.signed(key[new]), "times": np.diff(np.append(new, len(key)))})
 
     return run
 
 
-def _key_rows(rows: np.ndarray, key: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-    m = len(new)
-    none = np.full(m, None, dtype=object)
-    return pd.DataFrame(
-        {
-            "row": rows[doc[new]],
-            "key": shared.signed(key[new]),
-            "times": np.diff(np.append(new, len(key))),
-            "is_doc": np.zeros(m, bool),
-            "doc_id": none,
-            "held_out": none,
-            "n_tokens": np.zeros(m, np.int64),
-            "known": np.zeros(m, np.int64),
-            "base": np.zeros(m),
-        }
-    )
-
-
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES
+) -> DataFrame:
     """Scores of all whole texts by a model learned from rows where ``held_out`` is false.
 
     Returns one row per input row: doc_id, held_out, n_tokens (words and one
@@ -270,40 +304,43 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     end_hash = int(shared.signed(np.array([_END]))[0])
     valued = words.withColumn("base", F.log10(F.col("c") + 0.5)).where(F.col("h") != end_hash)
     end = words.where(F.col("h") == end_hash).select((F.col("c") > 0).cast("int"), F.log10(F.col("c") + 0.5)).first() or (0, 0.0)
-    common = valued.where(F.col("total") >= least).select("h", (F.col("c") > 0).cast("double").alias("known"), "base").toPandas().sort_values("h")
+    common = valued.where(F.col("total") >= least).select("h", (F.col("c") > 0).cast("double").alias("known"), "base", "total").toPandas()
+    common = common.sort_values(["total", "h"], ascending=False)
     frequent = spark.sparkContext.broadcast(tuple(common[name].to_numpy() for name in ("h", "known", "base")))
-
-    grams = slim.where(~F.col("held_out")).select("text").mapInPandas(
-        _grams, "context long, parent long, next long, depth byte, n long"
-    )
-    grown = shared.materialize(grow(grams, words, n, v))
-    bitmap = spark.sparkContext.broadcast(_bitmap(grown))
-    terms = grown.select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
     rare = valued.where(F.col("total") < least).select(
         F.col("h").alias("key"), (F.col("c") > 0).cast("int").alias("known_word"), F.col("base").alias("b"), F.lit(0.0).alias("term")
     )
-    # A word's own terms and those of its one-word context share a key.
-    table = shared.materialize(
-        rare.unionByName(terms).groupBy("key").agg(F.sum("known_word").alias("known_word"), F.sum("b").alias("b"), F.sum("term").alias("term"))
-    )
-    spread = slim.mapInPandas(_spread(frequent, bitmap, tuple(end)), _ROW.format(id=slim.schema["doc_id"].dataType.simpleString()))
-    joined = spread.join(table, "key", "left").where("is_doc or b is not null")
-    times = F.col("times")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + zero("known_word") * times).alias("n_known"),
-        F.sum(F.col("base") + zero("b") * times).alias("base"),
-        F.sum(zero("term") * times).alias("term"),
-    )
-    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
+
+    coded = slim.mapInPandas(_code(frequent, tuple(end)), _CODED.format(id=slim.schema["doc_id"].dataType.simpleString()))
+    coded = shared.materialize(coded)
+    sums = F.sum(F.col("known_word") * F.col("times")), F.sum(F.col("b") * F.col("times")), F.sum(F.col("term") * F.col("times"))
+    every_part = None
+    for i in range(passes):
+        folder = shared.scratch_dir(spark)
+        grams = coded.where(~F.col("held_out")).select("ids", "rare").mapInPandas(
+            _grams(frequent, i, passes), "context long, parent long, next long, depth byte, n long"
+        )
+        grown = grow(grams, words, n, v, folder)
+        terms = grown.select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
+        # A word's own terms and those of its one-word context share a key.
+        both = rare.where(_part_key("key", passes) == i).unionByName(terms)
+        table = both.groupBy("key").agg(F.sum("known_word").alias("known_word"), F.sum("b").alias("b"), F.sum("term").alias("term"))
+        table = shared.materialize(table, folder)
+        bitmap = spark.sparkContext.broadcast(_bitmap(table))
+        spread = coded.select("row", "ids", "rare").mapInPandas(_spread(frequent, bitmap, i, passes), "row long, key long, times long")
+        found = spread.join(table, "key").groupBy("row").agg(*(s.alias(c) for s, c in zip(sums, ("known_more", "base_more", "term"))))
+        found = shared.materialize(found)
+        shared.discard(spark, folder)
+        bitmap.destroy()
+        every_part = found if every_part is None else every_part.unionByName(found)
+    more = every_part.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known_more", "base_more", "term")))
+    out = coded.drop("ids", "rare").join(more, "row", "left").na.fill(0, ["known_more", "base_more", "term"])
+    base = F.col("base") + F.col("base_more") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("known") + F.col("known_more")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (base + F.col("term")).alias("score"),
