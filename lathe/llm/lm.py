@@ -40,7 +40,7 @@ P_FREQUENT = 2.5e-7
 #: On small inputs a word needs this many occurrences besides.
 LEAST_FREQUENT = 16
 #: Parts of the tree that are grown one after another.
-PASSES = 16
+PASSES = 4
 #: Bits of the bitmap of keys with terms, and of one part of it.
 MOST_BITS, PART_BITS = 1 << 28, 1 << 14
 _K = np.uint64(0x9E3779B97F4A7C15)
