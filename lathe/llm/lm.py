@@ -8,282 +8,409 @@ must predict its own occurrences better. Retained distributions are smoothed
 towards that of the suffix, and each token is scored in the longest retained
 state.
 
-Because every smoothed probability is that of the suffix times a factor, the
-log probability of a text is a sum of terms that belong to single keys: words,
-contexts, and contexts with their next token. Texts fetch the base terms of
-frequent words from a broadcast table (a fixed share of all tokens bounds its
-size) and all other terms by a join on the key. A bitmap of bounded size keeps
-most keys without a term out of that join; a key that it lets pass wrongly finds
-no term.
-
 The suffixes of a context end in the same word, so the tree falls into
-independent parts by the last word of its contexts. PASSES parts are grown and
-their terms added to the texts' sums one after another, each over the texts as
-word numbers; what a part wrote and shuffled is deleted before the next. All
-parts together are the whole tree; their number bounds the disk that counts and
-terms of a part take, not what is counted. A single word's contexts stay in one
-part.
+independent chunks by the last word of its contexts. Texts become slices of word
+numbers; a slice sends each chunk its places once, as packed arrays: distinct
+(context, next token) with how often and in which texts they occur. A chunk
+counts, grows its states and scores training and other places by them in numpy, and
+answers with a sum per text, so that no row per place or per state is shuffled
+or joined.
+
+A word with more than half of ``chunk`` places has chunks of its own, by the word before
+it; the counts of its next tokens, which these share, are summed beforehand and
+sent to all of them. Numbers of words are dealt in buckets by falling training
+count, so the count of a number is found in a table of the buckets' steps, whose
+length grows with the square root of the tokens.
 """
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 DEPTH = 3
-#: Words from this share of all tokens on have their base terms broadcast: at most 1 / P_FREQUENT of them.
-P_FREQUENT = 2.5e-7
-#: On small inputs a word needs this many occurrences besides.
-LEAST_FREQUENT = 16
-#: Parts of the tree that are grown one after another.
-PASSES = 4
-#: Bits of the bitmap of keys with terms, and of one part of it.
-MOST_BITS, PART_BITS = 1 << 28, 1 << 14
+#: Buckets of the words' hashes, which are numbered each by itself.
+BUCKETS = 256
+#: Places of a chunk of the tree, about; words with more than half as many have chunks of their own.
+CHUNK = 1 << 20
+#: Characters of a slice of texts, or one longer text.
+SLICE = 4 << 20
+#: Packed counts that are merged at once.
+MERGED = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x7FFF_FFFF_FFFF_FFF1)
+_32 = np.uint64(32)
 
 
-@shared.tidy
-def _count_words(batches):
-    """Distinct words of each slice with their counts in all and in training texts."""
-    for part in shared.slices(batches, 2 << 20, "text"):
-        train = part["train"].to_numpy()
-        h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
-        h = np.append(h, np.full(len(train), _END))
-        doc = np.append(doc, np.arange(len(train)))
-        order = np.argsort(h)
-        h, used = h[order], train[doc[order]].astype(np.int64)
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        yield pd.DataFrame(
-            {"h": shared.signed(h[new]), "c": np.add.reduceat(used, new), "total": np.diff(np.append(new, len(h)))}
-        )
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on, each in its narrowest type, compressed."""
+    out = []
+    for a in arrays:
+        raw = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        data = pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+        out += [struct.pack("<BQQ", raw.itemsize, len(raw), len(data)), data]
+    return b"".join(out)
+
 
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(blob):
+        width, n, size = struct.unpack_from("<BQQ", blob, at)
+        at += 17
+        data = pa.decompress(blob[at : at + size], decompressed_size=width * n, codec="zstd", asbytes=True) if n else b""
+        out.append(np.frombuffer(data, f"<u{width}"))
+        at += size
+    return out
 
-def _is_frequent(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = shared.signed(h)
-    if not len(keys):
-        return np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=np.int64)
-    spot = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return keys[spot] == x, spot
 
+def _joined(blobs) -> list[np.ndarray]:
+    """The arrays of several packs, each joined."""
+    return [np.concatenate(x) for x in zip(*map(_unpack, blobs))]
 
-def _pair(context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-    """The key of a context with its next token; ``_pair_key`` is the same in SQL."""
-    return context ^ ((nxt << np.uint64(21)) | (nxt >> np.uint64(43)))
 
+def _edges(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    n = len(sorted_by[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-def _pair_key(context: str, nxt: str) -> Column:
-    return F.col(context).bitwiseXOR(F.shiftleft(nxt, 21).bitwiseOR(F.shiftrightunsigned(nxt, 43)))
 
+def _tidy(run: Callable) -> Callable:
+    """A function of groups that releases its memory after each."""
 
-def _part(h: np.ndarray, passes: int) -> np.ndarray:
-    """The part of the tree that holds the contexts with this last word; ``_part_key`` is the same in SQL."""
-    return (h >> np.uint64(32)) % np.uint64(passes)
+    def wrapped(*groups):
+        try:
+            return run(*groups)
+        finally:
+            shared.release()
 
+    # Spark tells functions of a group and of its key by their arguments.
+    return (lambda a, b: wrapped(a, b)) if run.__code__.co_argcount == 2 else (lambda a: wrapped(a))
 
-def _part_key(h: str, passes: int) -> Column:
-    return F.shiftrightunsigned(h, 32) % passes
 
+_SLICED = "slice long, bucket int, ids array<string>, held binary, sizes binary, words binary, counts binary"
 
-def contexts(h: np.ndarray, doc: np.ndarray, chosen: np.ndarray, depth: int = DEPTH):
-    """(depth, places, context, parent, pair with the next token, next token) of each depth, of contexts that end at the chosen places."""
-    nxt = np.append(h[1:], _END)
-    nxt[np.append(doc[1:] != doc[:-1], True)] = _END
-    at = chosen
-    context = h[at]
-    parent = np.zeros(len(at), dtype=np.uint64)
-    for k in range(1, depth + 1):
-        if k > 1:
-            back = at - (k - 1)
-            ok = (back >= 0) & (doc[np.maximum(back, 0)] == doc[at])
-            at, parent = at[ok], context[ok]
-            context = shared.mix64(parent * _K + h[at - (k - 1)])
-        if not len(at):
-            return
-        yield k, at, context, parent, _pair(context, nxt[at]), nxt[at]
 
+@shared.tidy
+def _slice(batches):
+    """Texts as places in the slice's dictionary, in the row of bucket -1, and the dictionary with its counts, a row per bucket."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for part in shared.slices(batches, SLICE, "text"):
+        n, held = len(part), part["held_out"].to_numpy(dtype=bool)
+        words, doc = shared.word_hashes(part["text"].tolist(), lower=True)
+        sizes = np.bincount(doc, minlength=n) + 1
+        h = np.full(len(words) + n, _END)
+        h[np.arange(len(words)) + doc] = words
+        u, code, total = np.unique(h, return_inverse=True, return_counts=True)
+        train = np.bincount(code, weights=np.repeat(~held, sizes), minlength=len(u)).astype(np.int64)
+        bucket = (u % np.uint64(BUCKETS)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(u), dtype=np.int64)
+        place[order] = np.arange(len(u))
+        first = np.append(_edges(bucket[order]), len(u))
+        rows = [(number, -1, part["doc_id"].tolist(), held.tobytes(), _pack(sizes), _pack(place[code]), None)]
+        for lo, hi in zip(first[:-1], first[1:]):
+            of = order[lo:hi]
+            rows.append((number, int(bucket[of[0]]), None, None, None, u[of].tobytes(), _pack(train[of], total[of])))
+        yield pd.DataFrame(rows, columns=["slice", "bucket", "ids", "held", "sizes", "words", "counts"])
+        number += 1
+
+
+_NUMBERED = "slice long, bucket int, numbers binary, common binary, n long, v long, total long"
+
+
+def _number(chunk: int):
+    """Numbers of a bucket's words, from 1 on, for each slice; in the row of slice -1 the steps of their counts, words of many places and sums."""
+
+    @_tidy
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(group["bucket"].iloc[0])
+        h = np.frombuffer(b"".join(group["words"]), np.uint64)
+        c, total = _joined(group["counts"])
+        u, code = np.unique(h, return_inverse=True)
+        c, total = (np.bincount(code, weights=x).astype(np.int64) for x in (c, total))
+        order = np.lexsort((u, -total, -c))
+        rank = np.empty(len(u), dtype=np.int64)
+        rank[order] = np.arange(len(u))
+        number = rank * BUCKETS + bucket + 1
+        if int(number.max()) >> 32:
+            raise ValueError("more distinct words than 32 bits number")
+        step = _edges(c[order])
+        common = np.flatnonzero(total > chunk // 2)
+        rows = [(-1, bucket, _pack(step, c[order][step]), _pack(number[common], total[common]), int(c.sum()), int((c > 0).sum()), int(total.sum()))]
+        at = np.append(0, np.cumsum([len(x) // 8 for x in group["words"]]))
+        for s, lo, hi in zip(group["slice"], at[:-1], at[1:]):
+            rows.append((s, bucket, _pack(number[code[lo:hi]]), None, 0, 0, 0))
+        return pd.DataFrame(rows, columns=["slice", "bucket", "numbers", "common", "n", "v", "total"])
 
-_CODED = "row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, ids binary, rare binary"
+    return run
 
 
-def _code(frequent, end):
-    """A row per text: the sums of its frequent words and its words as their numbers, the hashes of other words apart."""
+class Counts:
+    """Training counts of numbered words."""
 
-    @shared.tidy
-    def run(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        by_number, known, base = frequent.value
-        number = np.argsort(by_number)
-        keys = by_number[number]
-        for part in shared.slices(batches, 1 << 20, "text"):
-            n = len(part)
-            h, doc = shared.word_hashes(part["text"].tolist(), lower=True)
-            hit, spot = _is_frequent(keys, h)
-            ids = np.full(len(h), -1, dtype=np.int32)
-            ids[hit] = number[spot[hit]]
-            add = lambda v: np.bincount(doc[hit], weights=v[ids[hit]], minlength=n)  # noqa: B023,E731
-            edges = np.searchsorted(doc, np.arange(n + 1))
-            rest, rest_edges = h[~hit], np.searchsorted(doc[~hit], np.arange(n + 1))
-            yield pd.DataFrame(
-                {
-                    "row": row + np.arange(n),
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "held_out": part["held_out"].to_numpy(),
-                    "n_tokens": np.diff(edges) + 1,
-                    "known": (add(known) + end[0]).astype(np.int64) if len(keys) else np.full(n, end[0]),
-                    "base": add(base) + end[1] if len(keys) else np.full(n, end[1]),
-                    "ids": [ids[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:])],
-                    "rare": [rest[lo:hi].tobytes() for lo, hi in zip(rest_edges[:-1], rest_edges[1:])],
-                }
-            )
-            row += n
+    def __init__(self, rows):
+        found = sorted((r["bucket"], *_unpack(r["numbers"])) for r in rows)
+        self.keys = np.concatenate([np.uint64(b << 40) + x.astype(np.uint64) for b, x, _ in found] or [np.zeros(0, np.uint64)])
+        self.values = np.concatenate([x.astype(np.int64) for *_, x in found] or [np.zeros(0, np.int64)])
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        x = number.astype(np.uint64) - np.uint64(1)
+        key = ((x % np.uint64(BUCKETS)) << np.uint64(40)) + x // np.uint64(BUCKETS)
+        return self.values[np.searchsorted(self.keys, key, side="right") - 1]
+
+
+_RESOLVED = "slice long, ids array<string>, held binary, sizes binary, known binary, base binary, numbers binary"
+
+
+def _resolve(counts):
+    """A slice's texts as word numbers, with their base terms."""
+
+    @_tidy
+    def run(texts: pd.DataFrame, numbered: pd.DataFrame) -> pd.DataFrame:
+        (row,) = texts.itertuples()
+        number = _joined(numbered.sort_values("bucket")["numbers"])[0]
+        c = counts.value.of(number)
+        (sizes,), (words,) = _unpack(row.sizes), _unpack(row.words)
+        first = np.append(0, np.cumsum(sizes, dtype=np.int64))[:-1]
+        known = np.add.reduceat((c > 0).astype(np.int64)[words], first)
+        base = np.add.reduceat(np.log10(c + 0.5)[words], first)
+        return pd.DataFrame(
+            [(row.slice, row.ids, row.held, row.sizes, _pack(known), base.tobytes(), _pack(number[words]))],
+            columns=["slice", "ids", "held", "sizes", "known", "base", "numbers"],
+        )
 
     return run
 
 
-def _words_of(part: pd.DataFrame, by_number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and whether it is frequent of every word of coded texts, in text order."""
-    ids = np.frombuffer(b"".join(part["ids"]), np.int32)
-    doc = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part["ids"]])
-    hit = ids >= 0
-    h = np.empty(len(ids), dtype=np.uint64)
-    h[hit] = by_number[ids[hit]].view(np.uint64)
-    h[~hit] = np.frombuffer(b"".join(part["rare"]), np.uint64)
-    return h, doc, hit
+def _places(row) -> tuple[np.ndarray, ...]:
+    """(last word, the one before, the one before that, next token, text, in training) of every place with a context; no word is 0."""
+    (sizes,), (number,) = _unpack(row.sizes), _unpack(row.numbers)
+    number = number.astype(np.uint64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+
+    def back(k: int) -> np.ndarray:
+        i = at - k
+        return np.where((i >= 0) & (doc[np.maximum(i, 0)] == doc[at]), number[np.maximum(i, 0)], np.uint64(0))
+
+    train = ~np.frombuffer(row.held, bool)
+    return number[at], back(1), back(2), number[at + 1], doc[at], train[doc[at]]
+
+
+def _share(numbers: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among the sorted numbers, and where."""
+    if not len(numbers):
+        return np.zeros(len(word), dtype=bool), np.zeros(len(word), dtype=np.int64)
+    spot = np.minimum(np.searchsorted(numbers, word), len(numbers) - 1)
+    return numbers[spot] == word, spot
 
 
-def _grams(frequent, i: int, passes: int):
-    """Counts of (context, next token) of a part of the tree in training texts, summed within a slice."""
+_PLACED = "chunk long, slice long, states binary, docs binary"
+
+
+def _deal(common, chunks: int):
+    """A row per slice and chunk: distinct contexts with next tokens, their places in training and in all, and the texts of these in turn."""
 
     @shared.tidy
     def run(batches):
-        for batch in shared.slices(batches, 16 << 20, "ids", "rare"):
-            h, doc, _ = _words_of(batch, frequent.value[0])
-            for k, _, context, parent, pair, nxt in contexts(h, doc, np.flatnonzero(_part(h, passes) == i)):
-                u, first, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pd.DataFrame(
-                    {
-                        "context": shared.signed(context[first]),
-                        "parent": shared.signed(parent[first]),
-                        "next": shared.signed(nxt[first]),
-                        "depth": np.full(len(u), k, dtype=np.int8),
-                        "n": n,
-                    }
-                )
+        numbers, firsts, shares = common.value
+        for batch in batches:
+            for row in batch.itertuples():
+                w, w1, w2, nxt, doc, train = _places(row)
+                chunk = (shared.mix64(w) % np.uint64(chunks)).astype(np.int64)
+                hit, spot = _share(numbers, w)
+                if hit.any():
+                    spot = spot[hit]
+                    chunk[hit] = firsts[spot] + (shared.mix64(w1[hit] ^ _K) % shares[spot].astype(np.uint64)).astype(np.int64)
+                near, far = (w << _32) | w1, (w2 << _32) | nxt
+                order = np.lexsort((far, near, chunk.astype(np.min_scalar_type(int(chunk.max(initial=0))))))
+                chunk, near, far, doc, train = (x[order] for x in (chunk, near, far, doc, train))
+                new = _edges(chunk, near, far)
+                if not len(new):
+                    continue
+                times = np.diff(np.append(new, len(doc)))
+                trained = np.add.reduceat(train.astype(np.int64), new)
+                w, w1, w2, nxt = near[new] >> _32, near[new] & np.uint64(0xFFFFFFFF), far[new] >> _32, far[new] & np.uint64(0xFFFFFFFF)
+                ends = np.append(_edges(chunk[new]), len(new))
+                at = np.append(new, len(doc))
+                rows = [
+                    (int(chunk[at[lo]]), row.slice, _pack(*(x[lo:hi] for x in (w, w1, w2, nxt, trained, times))), _pack(doc[at[lo] : at[hi]]))
+                    for lo, hi in zip(ends[:-1], ends[1:])
+                ]
+                yield pd.DataFrame(rows, columns=["chunk", "slice", "states", "docs"])
 
     return run
 
 
-def _retained(level: DataFrame) -> DataFrame:
-    """Adds whether each context is retained, and the probability its state gives to each next token.
+def _follow(common):
+    """Next tokens of common words in a slice's training texts with their counts, a row per word."""
 
-    ``p`` is the probability under the longest retained suffix, ``t`` the
-    number of distinct next tokens, ``total`` the occurrences of the context.
-    """
-    left_out = (F.col("n") - 1 + F.col("t") * F.col("p")) / (F.col("total") - 1 + F.col("t"))
-    gain = F.sum(F.col("n") * F.ln(left_out / F.col("p"))).over(Window.partitionBy("context"))
-    here = (F.col("n") + F.col("t") * F.col("p")) / (F.col("total") + F.col("t"))
-    return level.withColumn("keep", gain > 1e-9).withColumn("here", F.when(F.col("keep"), here).otherwise(F.col("p")))
+    @shared.tidy
+    def run(batches):
+        numbers = common.value[0]
+        for batch in batches:
+            for row in batch.itertuples():
+                w, _, _, nxt, _, train = _places(row)
+                hit = _share(numbers, w)[0] & train
+                pair, n = np.unique((w[hit] << _32) | nxt[hit], return_counts=True)
+                w, nxt = pair >> _32, pair & np.uint64(0xFFFFFFFF)
+                ends = np.append(_edges(w), len(w)) if len(w) else [0]
+                rows = [(int(w[lo]), _pack(nxt[lo:hi], n[lo:hi])) for lo, hi in zip(ends[:-1], ends[1:])]
+                yield pd.DataFrame(rows, columns=["word", "follow"])
 
+    return run
 
-def grow(grams: DataFrame, words: DataFrame, n: int, v: int, folder: str) -> DataFrame:
-    """(key, term) of the retained contexts and of their pairs with next tokens, log10; its tables go to the folder."""
-    # Dealt by both first: a hot context comes to one task with its distinct next tokens only.
-    summed = grams.groupBy("context", "next").agg(
-        F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("depth").alias("depth")
-    )
-    by = Window.partitionBy("context")
-    seen = summed.select("*", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("t"), F.max("n").over(by).alias("most"))
-    # A context whose next tokens all differ predicts none of its occurrences from the others.
-    seen = shared.materialize(seen.where("most > 1").drop("most"), folder)
-    root = words.select(F.col("h").alias("next"), ((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("p"))
-    back_off = F.log10(F.col("t") / (F.col("total") + F.col("t")))
-    terms, above = None, None
-    for k in range(1, DEPTH + 1):
-        level = seen.where(F.col("depth") == k).drop("depth")
-        if k == 1:
-            level = level.join(root, "next")
-        else:
-            level = level.join(above.select(F.col("context").alias("parent"), "next", F.col("here").alias("p")), ["parent", "next"])
-        factor = F.when(F.col("keep"), F.log10("here") - F.log10("p") - back_off)
-        above = _retained(level).select("context", "next", "here", factor.alias("term"), back_off.alias("back_off"))
-        above = shared.materialize(above, folder)
-        kept = above.where("term is not null")
-        new = kept.groupBy(F.col("context").alias("key")).agg(F.first("back_off").alias("term")).unionByName(
-            kept.select(_pair_key("context", "next").alias("key"), "term")
-        )
-        terms = new if terms is None else terms.unionByName(new)
-    return terms
 
+def _summed(nxt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, code = np.unique(nxt, return_inverse=True)
+    return u, np.bincount(code, weights=n, minlength=len(u)).astype(np.int64)
 
-def _bitmap(terms: DataFrame) -> tuple[int, np.ndarray]:
-    """(number of bits, bitmap) of the keys; a key's bit is its scrambled value modulo the bits."""
-    bits = PART_BITS
-    count = terms.count()
-    while bits < min(8 * count, MOST_BITS):
-        bits *= 2
 
-    def part(group: pd.DataFrame) -> pd.DataFrame:
-        at = shared.mix64(group["key"].to_numpy().view(np.uint64)) % np.uint64(bits)
-        here = np.zeros(PART_BITS, dtype=bool)
-        here[(at % np.uint64(PART_BITS)).astype(np.int64)] = True
-        return pd.DataFrame({"part": [int(at[0]) // PART_BITS], "bits": [np.packbits(here).tobytes()]})
+def _shared_counts(common):
+    """All next tokens of a common word with their counts, for each of its chunks."""
 
-    def place(batches):
-        for batch in batches:
-            at = shared.mix64(batch["key"].to_numpy().view(np.uint64)) % np.uint64(bits)
-            yield pd.DataFrame({"key": batch["key"], "part": (at // np.uint64(PART_BITS)).astype(np.int64)})
+    @_tidy
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        numbers, firsts, shares = common.value
+        spot = np.searchsorted(numbers, np.uint64(group["word"].iloc[0]))
+        have, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        for blob in group["follow"]:
+            have.append(tuple(_unpack(blob)))
+            held += len(have[-1][0])
+            if held > MERGED + len(have[0][0]):
+                have, held = [_summed(*map(np.concatenate, zip(*have)))], 0
+        follow = _pack(*_summed(*map(np.concatenate, zip(*have))))
+        each = firsts[spot] + np.arange(shares[spot])
+        return pd.DataFrame({"chunk": each, "slice": -1, "states": follow, "docs": None})
 
-    placed = terms.select("key").mapInPandas(place, "key long, part long")
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in placed.groupBy("part").applyInPandas(part, "part long, bits binary").collect():
-        at = r["part"] * PART_BITS // 8
-        out[at : at + PART_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits, out
+    return run
 
 
-def _maybe(bitmap: tuple[int, np.ndarray], key: np.ndarray) -> np.ndarray:
-    bits, held = bitmap
-    at = (shared.mix64(key) % np.uint64(bits)).astype(np.int64)
-    return (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def _step(context: np.ndarray, nxt: np.ndarray, trained: np.ndarray, p: np.ndarray, known=None) -> tuple[np.ndarray, np.ndarray]:
+    """One level of the tree: (probability of each state's next token, whether longer contexts can be retained).
 
+    ``context`` numbers the contexts, ``p`` is the probability under the longest
+    retained suffix. ``known``: (next tokens, counts) of the only context.
+    """
+    order = np.argsort((context << _32) | nxt, kind="stable")
+    c, x = context[order], nxt[order]
+    del context, nxt
+    first = _edges(c, x)
+    pair = np.empty(len(order), dtype=np.int64)
+    pair[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    c, x, q = c[first].astype(np.int64), x[first], p[order[first]]
+    if known is None:
+        n = np.add.reduceat(trained[order], first)
+        starts = _edges(c)
+        c = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+        total, t, most = np.add.reduceat(n, starts), np.add.reduceat((n > 0).astype(np.int64), starts), np.maximum.reduceat(n, starts)
+        gain = np.bincount(c, weights=_gain(n, t[c], total[c], q))
+    else:
+        seen, counts, root = known
+        n, c = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+        hit, spot = _share(seen, x)
+        n[hit] = counts[spot[hit]]
+        total, t, most = np.array([counts.sum()]), np.array([len(seen)]), counts.max(initial=0, keepdims=True)
+        gain = np.array([_gain(counts, t, total, root).sum()])
+    keep = (most > 1) & (gain > 1e-9)
+    total, t = total[c], t[c]
+    q = np.where(keep[c], (n + t * q) / np.maximum(total + t, 1), q)
+    return q[pair], (most > 1)[c][pair]
+
+
+def _gain(n: np.ndarray, t: np.ndarray, total: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """By how much a context predicts its occurrences better than its suffix, leaving out one at a time."""
+    left_out = (n - 1 + t * p) / np.maximum(total - 1 + t, 1)
+    return n * np.log(np.where(n > 0, left_out / p, 1))
+
+
+def _grow(counts, n: int, v: int):
+    """Grows a chunk of the tree and sums what its states add to the base terms of each text, log10."""
+
+    @_tidy
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(group["chunk"].iloc[0])
+        root = lambda x: (counts.value.of(x) + 0.5) / (n + 0.5 * (v + 1))
+        known = None
+        for blob in group.loc[group["slice"] < 0, "states"]:
+            seen, many = (x.astype(k) for x, k in zip(_unpack(blob), (np.uint64, np.int64)))
+            known = seen, many, root(seen)
+        rows = group[group["slice"] >= 0].sort_values("slice")
+        if not len(rows):
+            return pd.DataFrame(columns=["chunk", "slice", "docs", "sums"])
+        packs = [_unpack(x) for x in rows["states"]]
+        w, w1, w2, nxt, trained = (np.concatenate([x[i] for x in packs]) for i in range(5))
+        times = [x[5] for x in packs]
+        del packs
+        order = np.lexsort(((w2.astype(np.uint64) << _32) | nxt, (w.astype(np.uint64) << _32) | w1)).astype(np.int32 if len(w) >> 31 == 0 else np.int64)
+        w, w1, w2, nxt = (x[order] for x in (w, w1, w2, nxt))
+        trained = trained[order].astype(np.int64)
+        base = root(nxt)
+        p = base.copy()
+        live = np.arange(len(w))
+        for k, words in enumerate(((w,), (w, w1), (w, w1, w2))):
+            live = live[words[-1][live] > 0]
+            if not len(live):
+                break
+            first = _edges(*(x[live] for x in words))
+            context = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(live))))
+            p[live], more = _step(context, nxt[live].astype(np.uint64), trained[live], p[live], known if k == 0 else None)
+            live = live[more]
+        term = np.empty(len(p))
+        term[order] = np.log10(p) - np.log10(base)
+        out, at = [], 0
+        for s, times_of, docs in zip(rows["slice"], times, rows["docs"]):
+            (doc,) = _unpack(docs)
+            sums = np.bincount(doc, weights=np.repeat(term[at : at + len(times_of)], times_of))
+            there = np.flatnonzero(np.bincount(doc))
+            at += len(times_of)
+            out.append((chunk, s, _pack(there), sums[there].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "slice", "docs", "sums"])
 
-def _spread(frequent, bitmap, i: int, passes: int):
-    """A row per text and key that may have a term in a part of the tree."""
+    return run
 
-    @shared.tidy
-    def run(batches):
-        for part in shared.slices(batches, 4 << 20, "ids", "rare"):
-            h, doc, hit = _words_of(part, frequent.value[0])
-            got_k, got_d = [], []
-            for k, at, context, _, pair, _ in contexts(h, doc, np.flatnonzero(_part(h, passes) == i)):
-                retained = _maybe(bitmap.value, context)
-                # A word's base term has the key of its one-word context.
-                send = retained | ~hit[at] if k == 1 else retained
-                seen = np.flatnonzero(retained)
-                seen = seen[_maybe(bitmap.value, pair[seen])]
-                got_k += [context[send], pair[seen]]
-                got_d += [doc[at[send]], doc[at[seen]]]
-            if not got_k:
-                continue
-            key, at = np.concatenate(got_k), np.concatenate(got_d)
-            order = np.lexsort((key, at))
-            key, at = key[order], at[order]
-            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]))) if len(key) else np.zeros(0, np.int64)
-            rows = part["row"].to_numpy()
-            yield pd.DataFrame({"row": rows[at[new]], "key": shared.signed(key[new]), "times": np.diff(np.append(new, len(key)))})
+
+def _finish(n: int, v: int):
+    """A row per text of a slice."""
+
+    @_tidy
+    def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        (row,) = texts.itertuples()
+        (sizes,), (known,) = _unpack(row.sizes), _unpack(row.known)
+        base = np.frombuffer(row.base, float) - sizes.astype(float) * np.log10(n + 0.5 * (v + 1))
+        term = np.zeros(len(sizes))
+        for r in found.sort_values("chunk").itertuples():
+            term[_unpack(r.docs)[0]] += np.frombuffer(r.sums, float)
+        return pd.DataFrame(
+            {
+                "doc_id": pd.Series(list(row.ids), dtype=object),
+                "held_out": np.frombuffer(row.held, bool),
+                "n_tokens": sizes.astype(np.int64),
+                "n_known": known.astype(np.int64),
+                "base_score": base,
+                "score": base + term,
+            }
+        )
 
     return run
 
 
 def score_texts(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """Scores of all whole texts by a model learned from rows where ``held_out`` is false.
 
@@ -292,56 +419,42 @@ def score_texts(
     (suffix tree, log10). Only A-Z are lowered. A null text is an empty one:
     its only token is the end. Without training rows every count is 0. Repeated
     rows are counted and scored each; an empty table gives no rows; extra
-    columns are not read.
+    columns are not read. ``chunk`` bounds memory, not what is counted.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    slim = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = slim.select((~F.col("held_out")).alias("train"), "text").mapInPandas(_count_words, "h long, c long, total long")
-    words = shared.materialize(counted.groupBy("h").agg(F.sum("c").alias("c"), F.sum("total").alias("total")))
-    n, v, every = (int(x or 0) for x in words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum("total")).first())
-    least = max(float(LEAST_FREQUENT), every * P_FREQUENT)
-    end_hash = int(shared.signed(np.array([_END]))[0])
-    valued = words.withColumn("base", F.log10(F.col("c") + 0.5)).where(F.col("h") != end_hash)
-    end = words.where(F.col("h") == end_hash).select((F.col("c") > 0).cast("int"), F.log10(F.col("c") + 0.5)).first() or (0, 0.0)
-    common = valued.where(F.col("total") >= least).select("h", (F.col("c") > 0).cast("double").alias("known"), "base", "total").toPandas()
-    common = common.sort_values(["total", "h"], ascending=False)
-    frequent = spark.sparkContext.broadcast(tuple(common[name].to_numpy() for name in ("h", "known", "base")))
-    rare = valued.where(F.col("total") < least).select(
-        F.col("h").alias("key"), (F.col("c") > 0).cast("int").alias("known_word"), F.col("base").alias("b"), F.lit(0.0).alias("term")
+    # As text, ids pass through pandas unchanged, null ones too.
+    slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    folder = shared.scratch_dir(spark)
+    sliced = shared.materialize(slim.mapInPandas(_slice, _SLICED), folder)
+    words = sliced.where("bucket >= 0").select("slice", "bucket", "words", "counts")
+    numbered = shared.materialize(words.groupBy("bucket").applyInPandas(_number(chunk), _NUMBERED), folder)
+    stats = numbered.where("slice < 0").collect()
+    n, v, every = (sum(r[x] for r in stats) for x in ("n", "v", "total"))
+    counts = spark.sparkContext.broadcast(Counts(stats))
+    texts = sliced.where("bucket < 0").select("slice", "ids", "held", "sizes", "words")
+    numbers = numbered.where("slice >= 0").select("slice", "bucket", "numbers")
+    coded = shared.materialize(texts.groupBy("slice").cogroup(numbers.groupBy("slice")).applyInPandas(_resolve(counts), _RESOLVED))
+    shared.discard(spark, folder)
+
+    chunks = max(1, -(-every // chunk))
+    number, total = (np.concatenate([x.astype(np.int64) for x in a] or [np.zeros(0, np.int64)]) for a in zip(*(_unpack(r["common"]) for r in stats))) if stats else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(number)
+    shares = -(-total[order] // max(1, chunk // 2))
+    common = spark.sparkContext.broadcast((number[order].astype(np.uint64), chunks + np.cumsum(shares) - shares, shares))
+    bare = coded.select("slice", "held", "sizes", "numbers")
+    placed = bare.mapInPandas(_deal(common, chunks), _PLACED)
+    if len(number):
+        follow = bare.mapInPandas(_follow(common), "word long, follow binary")
+        placed = placed.unionByName(follow.groupBy("word").applyInPandas(_shared_counts(common), _PLACED))
+    found = placed.groupBy("chunk").applyInPandas(_grow(counts, n, v), "chunk long, slice long, docs binary, sums binary")
+    found = shared.materialize(found)
+
+    of_texts = coded.select("slice", "ids", "held", "sizes", "known", "base")
+    scored = of_texts.groupBy("slice").cogroup(found.groupBy("slice")).applyInPandas(
+        _finish(n, v), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-
-    coded = slim.mapInPandas(_code(frequent, tuple(end)), _CODED.format(id=slim.schema["doc_id"].dataType.simpleString()))
-    coded = shared.materialize(coded)
-    sums = F.sum(F.col("known_word") * F.col("times")), F.sum(F.col("b") * F.col("times")), F.sum(F.col("term") * F.col("times"))
-    every_part = None
-    for i in range(passes):
-        folder = shared.scratch_dir(spark)
-        grams = coded.where(~F.col("held_out")).select("ids", "rare").mapInPandas(
-            _grams(frequent, i, passes), "context long, parent long, next long, depth byte, n long"
-        )
-        grown = grow(grams, words, n, v, folder)
-        terms = grown.select("key", F.lit(0).alias("known_word"), F.lit(0.0).alias("b"), "term")
-        # A word's own terms and those of its one-word context share a key.
-        both = rare.where(_part_key("key", passes) == i).unionByName(terms)
-        table = both.groupBy("key").agg(F.sum("known_word").alias("known_word"), F.sum("b").alias("b"), F.sum("term").alias("term"))
-        table = shared.materialize(table, folder)
-        bitmap = spark.sparkContext.broadcast(_bitmap(table))
-        spread = coded.select("row", "ids", "rare").mapInPandas(_spread(frequent, bitmap, i, passes), "row long, key long, times long")
-        found = spread.join(table, "key").groupBy("row").agg(*(s.alias(c) for s, c in zip(sums, ("known_more", "base_more", "term"))))
-        found = shared.materialize(found)
-        shared.discard(spark, folder)
-        bitmap.destroy()
-        every_part = found if every_part is None else every_part.unionByName(found)
-    more = every_part.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known_more", "base_more", "term")))
-    out = coded.drop("ids", "rare").join(more, "row", "left").na.fill(0, ["known_more", "base_more", "term"])
-    base = F.col("base") + F.col("base_more") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.col("known_more")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("term")).alias("score"),
+    return scored.select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )

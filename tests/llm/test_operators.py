@@ -230,6 +230,37 @@ def test_lm_equals_a_suffix_tree_over_all_words(spark):
     assert [got[i] for i in range(80)] == pytest.approx(want, abs=1e-6)
 
 
+def test_lm_chunks_share_a_common_word(spark):
+    """Words with more places than a chunk are split by the word before; the whole tree comes out, from packed arrays only."""
+    texts = [" ".join(random.Random(i % 37).choice(["of", "to"]) + " the " + w for w in words(i % 37, 12)) for i in range(80)]
+    tokens = [[*t.split(), None] for t in texts]
+    want, _ = brute_suffix_tree([t for i, t in enumerate(tokens) if i % 4], tokens)
+    df = lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") % 4 == 0, chunk=40)
+    got = {r["doc_id"]: r["score"] for r in df.collect()}
+    assert [got[i] for i in range(80)] == pytest.approx(want, abs=1e-6)
+
+
+def test_lm_sends_a_place_once():
+    """Repeated places of a slice are one state with its times, whatever their number."""
+    from types import SimpleNamespace
+
+    sizes, numbers = np.full(500, 4), np.tile([3, 5, 7, 1], 500)
+    row = pd.DataFrame([(0, np.arange(500) % 5 == 0, lm._pack(sizes), lm._pack(numbers))], columns=["slice", "held", "sizes", "numbers"])
+    row["held"] = [x.tobytes() for x in row["held"]]
+    none = np.zeros(0, np.int64)
+    (got,) = lm._deal(SimpleNamespace(value=(none.astype(np.uint64), none, none)), 1)([row])
+    w, w1, w2, nxt, trained, times = lm._unpack(got["states"].iloc[0])
+    assert sorted(zip(w, w1, w2, nxt, trained, times)) == [(3, 0, 0, 5, 400, 500), (5, 3, 0, 7, 400, 500), (7, 5, 3, 1, 400, 500)]
+    assert len(lm._unpack(got["docs"].iloc[0])[0]) == 1500
+
+
+def test_lm_ids_stay_exact(spark):
+    """Ids beyond 53 bits beside a null one."""
+    rows = [(2**60 + 1, "a b"), (None, "a b"), (2**60 + 3, None)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
+    assert {r["doc_id"] for r in got} == {2**60 + 1, None, 2**60 + 3}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)] + [(400, None), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (600, [float("nan")] * 6), (None, [0.0] * 6), (700, [])]
