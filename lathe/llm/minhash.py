@@ -32,6 +32,8 @@ BANDS, ROWS = 40, 5
 ESTIMATE = 0.65
 #: Rows on the two sides of one block of a bucket.
 OWN_BLOCK, OTHER_BLOCK = 512, 4096
+#: Sides of a row in a block; it may stand on both.
+_OWN, _OTHER = 1, 2
 #: Characters of the texts that a worker describes at once, or one longer text.
 SLICE = 1 << 20
 #: Bits of a filter of keys, at most.
@@ -228,7 +230,7 @@ def _candidates(own: pd.DataFrame, other: pd.DataFrame):
 
 def _live_rows(block: pd.DataFrame) -> pd.DataFrame:
     """The rows of a block with a possible partner in it; only those need their shingle sets."""
-    own, other = block[block["mine"]], block[~block["mine"]]
+    own, other = _sides(block)
     named: set[int] = set()
     if len(own) and len(other):
         ids = other["id"].to_numpy()
@@ -246,7 +248,7 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
     components. A pair is not looked at once others of the block have joined
     its components.
     """
-    own, other = block[block["mine"]], block[~block["mine"]]
+    own, other = _sides(block)
     out = []
     if len(own) and len(other):
         ids, comps = other["id"].to_numpy(), other["component"].to_numpy()
@@ -272,15 +274,27 @@ def _block_pairs(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _blocks(rows: DataFrame, values: DataFrame):
-    """Rows of a bucket dealt to blocks of bounded size, own rows against all rows, with the values of their ids."""
-    shape = rows.groupBy("band").agg(F.ceil(F.count_if("own") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / OTHER_BLOCK).cast("int").alias("nj"))
-    dealt = rows.join(shape.where("ni > 0"), "band")
+    """Rows of a bucket dealt to blocks of bounded size, own rows against all rows, with the values of their ids.
+
+    A bucket that fits one block goes there whole, each row once. The values are
+    joined before rows are repeated for several blocks, so the join makes one row
+    per member of a bucket, whatever the bucket's size.
+    """
+    shape = rows.groupBy("band").agg(F.count_if("own").alias("n_own"), F.count("*").alias("n")).where("n_own > 0")
+    one = F.col("n") <= OTHER_BLOCK
+    shape = shape.select("band", one.alias("one"), F.ceil(F.col("n_own") / OWN_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / OTHER_BLOCK).cast("int").alias("nj"))
+    dealt = rows.join(shape, "band").join(values, "id")
     place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["band", "id", "component"]
-    own = dealt.where("own").select(*columns, F.lit(True).alias("mine"), place("ni", 1).alias("i"), each("nj").alias("j"))
-    other = dealt.select(*columns, F.lit(False).alias("mine"), each("ni").alias("i"), place("nj", 2).alias("j"))
-    return own.unionByName(other).join(values, "id").groupBy("band", "i", "j")
+    spot = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    own = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: spot(_OWN, place("ni", 1), j))
+    other = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: spot(_OTHER, i, place("nj", 2)))
+    whole = F.when(F.col("own"), F.array(spot(_OWN | _OTHER, F.lit(0), F.lit(0)))).otherwise(F.array(spot(_OTHER, F.lit(0), F.lit(0))))
+    spots = F.when(F.col("one"), whole).when(F.col("own"), F.concat(own, other)).otherwise(other)
+    return dealt.withColumn("spot", F.explode(spots)).drop("own", "one", "ni", "nj").select("*", "spot.*").drop("spot").groupBy("band", "i", "j")
+
+
+def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return block[(block["side"] & _OWN) > 0], block[(block["side"] & _OTHER) > 0]
 
 
 @shared.tidy

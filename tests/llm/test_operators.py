@@ -168,6 +168,21 @@ def test_components(spark):
     assert all(got[x] == find(x) for e in edges if e[0] != e[1] for x in e)
 
 
+def test_a_bucket_of_one_block_is_not_repeated(spark):
+    rows = spark.range(600).selectExpr("1L AS band", "id", "id AS component", "true AS own")
+    got = minhash._blocks(rows, spark.range(600).selectExpr("id", "id AS value")).agg(F.count("*").alias("n")).collect()
+    assert [r["n"] for r in got] == [600]
+
+
+def test_blocks_hold_every_pair_and_join_a_member_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "OWN_BLOCK", 4)
+    monkeypatch.setattr(minhash, "OTHER_BLOCK", 8)
+    rows = spark.range(30).selectExpr("1L AS band", "id", "id AS component", "id % 3 = 0 AS own")
+    blocks = minhash._blocks(rows, spark.range(30).selectExpr("id", "id AS value")).agg(F.collect_list(F.struct("id", "side")).alias("rows"))
+    pairs = [(a["id"], b["id"]) for r in blocks.collect() for a in r["rows"] if a["side"] & 1 for b in r["rows"] if b["side"] & 2]
+    assert sorted(pairs) == [(a, b) for a in range(0, 30, 3) for b in range(30)]
+
+
 def test_lm_base_and_model(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
